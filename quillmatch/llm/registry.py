@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 QUERIES = {
+    "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
 }
 
