@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import decontaminate, quality, simhash
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
 }
