@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, lm, mixing, quality, simhash, tokens
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op5_tokens": tokens.op5_tokens,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
+    "op10_lm": lm.op10_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
