@@ -66,3 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null becomes empty) and the further columns named."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

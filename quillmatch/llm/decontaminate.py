@@ -150,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
 def clean(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -> DataFrame:
     """The documents without a leaked item, with their own columns."""
     bad = leaks(docs, benchmark, options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,11 +216,11 @@ def rates(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> D
 
 def apply(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """The documents as often as their copies say, with their own columns."""
-    drawn = rates(docs, labels, options).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).where("_copies > 0").distinct()
+    i, h, n = (common.fresh(docs, c) for c in ("_id", "_th", "_copies"))
+    drawn = rates(docs, labels, options).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("copies").alias(n)).where(F.col(n) > 0).distinct()
     text = F.coalesce(docs["text"], F.lit(""))
-    out = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")))
-    more = out.where("_copies > 1").withColumn("_copies", F.explode(F.sequence(F.lit(2).cast("long"), "_copies"))) if options.ratio and max(options.ratio.values()) > 1 else None
-    out = out if more is None else out.unionByName(more)
+    out = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)))
+    out = out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n)))
     return out.select(*[docs[c] for c in docs.columns])
 
 

@@ -139,7 +139,7 @@ def profile(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     if reference.count() <= limits.broadcast_languages:
         reference = F.broadcast(reference)
     df = df.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    wider = F.lit(limits.slack) / F.sqrt(F.col("n_words"))
+    wider = F.lit(limits.slack) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     df = df.withColumns({
         "class_distance": js_distance(F.transform("classes", lambda x: x / UNIT), F.transform("ref_classes", lambda x: x / UNIT)),
         "word_distance": js_distance(_with_rest(F.col("listed")), _with_rest(F.col("ref_listed"))),
@@ -158,7 +158,7 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with their own columns. Rows that share a
     doc_id pass together only if each of them does."""
     bad = profile(docs, limits).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

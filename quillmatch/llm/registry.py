@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, mixing, quality, simhash, tokens
+from . import decontaminate, lm, mixing, pii, quality, quotes, secrets, shards, simhash, tokens
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
+    "op3_shards": shards.op3_shards,
+    "op4_quotes": quotes.op4_quotes,
     "op5_tokens": tokens.op5_tokens,
+    "op6_secrets": secrets.op6_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,

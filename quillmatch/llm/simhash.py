@@ -287,9 +287,11 @@ def keep_one(docs: DataFrame, limit: int = 4) -> DataFrame:
     smallest doc_id (then text hash) stays, once."""
     rows = common.materialize(_grouped(docs, limit), "grouped")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
-    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th")), "left_semi")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["_id"]) & (text == first["_th"]), "left_semi")
     if rows.count() != rows.select("doc_id", "th").distinct().count():
-        kept = kept.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_th"]).drop("_th")
+        th = common.fresh(docs, "_th")
+        kept = kept.withColumn(th, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", th]).drop(th)
     return kept
 
 
