@@ -84,5 +84,5 @@ def host_url(url: Column | str, host: str = "github.com") -> Column:
     repo = F.when((n == 5) | content, F.get(p, F.lit(4)))
     return F.when(valid, F.struct(
         kind.alias("kind"), owner.alias("owner"), repo.alias("repo"), F.when(content, F.get(p, F.lit(6))).alias("branch"),
-        F.when(content, F.array_join(F.slice(p, 8, 2**31 - 1), "/")).alias("path"),
+        F.when(content, F.array_join(F.slice(p, 8, F.greatest(n - 7, F.lit(0))), "/")).alias("path"),
     ))

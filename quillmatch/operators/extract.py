@@ -52,8 +52,6 @@ def features_from_works(works: DataFrame, extension: str) -> DataFrame:
 
 def _plain(found: dict) -> dict:
     out = dict(found)
-    for name in ("operators", "keywords", "literals", "unodes", "from_num"):
-        out[name] = list(found[name].items())
     out["structure"] = [{"depth": d, "uid": u} for d, u in found["structure"]]
     out["tokens_pos"] = [{"lineno": a, "col_offset": b} for a, b in found["tokens_pos"]]
     return out

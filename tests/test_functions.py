@@ -183,7 +183,11 @@ def test_many_trees_against_a_plain_recursion():
 def plain_struct(a, b):
     if not a or not b:
         return (1, 1) if not a and not b else (1, len(a) + len(b) + 1)
-    cut = lambda t: [t[i:j] for i, j in zip(c := [k for k, d in enumerate(t) if d == t[0]], c[1:] + [len(t)])]
+
+    def cut(t):
+        at = [k for k, d in enumerate(t) if d == t[0]]
+        return [t[i:j] for i, j in zip(at, at[1:] + [len(t)])]
+
     x, y = cut(a), cut(b)
     cells = {(i, j): plain_struct(p[1:], q[1:]) for i, p in enumerate(x) for j, q in enumerate(y)}
     num = den = 1
