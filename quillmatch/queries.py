@@ -453,7 +453,7 @@ ORACLE_SQL = {
         SELECT w.id AS item_id, max(uid) + 1 AS count_unodes, sha256(concat('[', string_agg(CAST(uid AS VARCHAR), ', ' ORDER BY pos), ']')) AS sha256 FROM w JOIN f USING (id, x) GROUP BY w.id""",
     "doc_unique_nodes": f"WITH {_ITEM_REPS}, w AS (SELECT id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM reps) SELECT id AS item_id, x AS node, row_number() OVER (PARTITION BY id ORDER BY min(pos)) - 1 AS uid FROM w GROUP BY id, x",
     "python_features_golden": "SELECT 'a.py' AS filepath, 42::INTEGER AS count_of_nodes, 15::INTEGER AS count_unodes, 'cc112603b970b41f72e0488dcc6f9e26889a9298c752e61a25d3e10caf512e43' AS sha256, 'INT_CONST[1] INT_CONST[2] FLOAT_CONST[3] my_func[6] If[12]' AS heads",
-    "compare_works_golden": "SELECT 0.737::DOUBLE AS jakkar, 0.667::DOUBLE AS operators, 1.0::DOUBLE AS keywords, 0.75::DOUBLE AS literals, 0.774::DOUBLE AS weighted_average, 0.823::DOUBLE AS similarity",
+    "compare_works_golden": "SELECT 0.737::DOUBLE AS jakkar, 0.667::DOUBLE AS operators, 1.0::DOUBLE AS keywords, 0.75::DOUBLE AS literals, 0.774::DOUBLE AS weighted_average, 0.824::DOUBLE AS similarity",
     "compliance_long_golden": "SELECT * FROM (VALUES (0, 0, 'my_func[1]', 'my_func[1]', 0.7917::DOUBLE), (0, 1, 'my_func[1]', 'If[7]', 0.3333::DOUBLE), (1, 0, 'If[7]', 'my_func[1]', 0.1852::DOUBLE), (1, 1, 'If[7]', 'If[7]', 0.8889::DOUBLE)) t(i, j, first_head, second_head, ratio)",
     "percent_matrix_golden": "SELECT * FROM (VALUES (0, 0, 79.17::DOUBLE), (0, 1, 33.33::DOUBLE), (1, 0, 18.52::DOUBLE), (1, 1, 88.89::DOUBLE)) t(i, j, percent)",
     "same_heads_golden": """SELECT * FROM (VALUES ('first', 'my_func[1]', 'my_func[1]', 79.17::DOUBLE, 0), ('first', 'If[7]', 'If[7]', 88.89::DOUBLE, 0), ('first', 'If[7]', 'my_func[1]', 18.52::DOUBLE, 1),
@@ -468,7 +468,7 @@ ORACLE_SQL = {
     "calc_iterations": "SELECT source, CASE WHEN count(*) > 1 THEN count(*) * (count(*) - 1) // 2 ELSE 0 END AS iterations FROM documents GROUP BY source",
     "url_parse_pages": "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '/+$', ''), '/') AS p FROM pages) SELECT page_id, len(p) AS n_parts, p[1] AS protocol, p[3] AS host FROM p",
     "path_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]+$|\\.html$')",
-    "text_lengths": "WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\n+', '\\n', 'g') AS c0 FROM documents), c AS (SELECT doc_id, replace(c0, '\\n', chr(10)) AS c FROM t) SELECT doc_id, length(c) AS content_len, length(translate(c, ' ' || chr(10) || chr(9), '')) AS content_len_without_blank, len(string_split(c, chr(10))) - CASE WHEN c = '' OR ends_with(c, chr(10)) THEN 1 ELSE 0 END AS count_lines_without_blank_lines FROM c",
+    "text_lengths": r"WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g') AS c FROM documents) SELECT doc_id, length(c) AS content_len, length(translate(c, ' ' || chr(10) || chr(9), '')) AS content_len_without_blank, len(string_split(c, chr(10))) - CASE WHEN c = '' OR ends_with(c, chr(10)) THEN 1 ELSE 0 END AS count_lines_without_blank_lines FROM c",
     "rolling_mean_20": """WITH e AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events), w AS (SELECT event_id, count(*) OVER o AS n, sum(cents) OVER o AS s FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
         SELECT event_id, CASE WHEN n = 20 THEN CAST(s AS DOUBLE) / 20 END AS rolling_mean FROM w""",
     "trend_linear": "WITH s AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS sx, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS sy, CAST(sum(l_linenumber * l_linenumber) AS DOUBLE) AS sxx, CAST(sum(l_linenumber * CAST(l_quantity AS BIGINT)) AS DOUBLE) AS sxy FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s",
