@@ -52,7 +52,7 @@ class Options:
     window: int = 8
     min_words: int = 5
     min_plain: int = 4
-    coverage: float = 0.8
+    coverage: float = 0.5
     block: int = 50_000
     #: Benchmarks with more windows are joined by a shuffle instead of a broadcast.
     broadcast_windows: int = 200_000

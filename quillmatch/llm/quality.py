@@ -162,4 +162,5 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(common.table(spark, sf_dir, "documents"))
+    rows = profile(common.table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

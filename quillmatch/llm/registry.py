@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, mixing, pii, quality, quotes, secrets, shards, simhash, tokens
+from . import decontaminate, lm, mixing, pii, quality, quotes, secrets, shards, simhash, sql, tokens
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,4 +17,7 @@ QUERIES = {
     "op10_lm": lm.op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_decontaminate": sql.decontaminate_sql(),
+    "op9_quality": sql.quality_sql(),
+}

@@ -62,10 +62,25 @@ def _tokenizer(path: str):
 
 
 def _flat(encodings) -> tuple[np.ndarray, np.ndarray]:
-    ids = [e.ids for e in encodings]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-    return flat, lengths
+    ids = [np.array(e.ids, np.int32) for e in encodings]
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+#: Stands between words that are tokenized in one go; a character of its own token.
+MARK, MARKED = "\x02", 1000
+
+
+def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids) of each word; many words go to the tokenizer as one text."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    texts = [f" {MARK} ".join(words[k : k + MARKED]) for k in range(0, len(words), MARKED)]
+    flat, per_text = _flat(tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    # A text's last word has no mark behind it: its end is the text's end.
+    at = np.flatnonzero(flat == mark[0])
+    if len(mark) != 1 or len(at) != len(words) - len(texts):
+        return _flat(tokenizer.encode_batch_fast(words, add_special_tokens=False))
+    ends = np.sort(np.concatenate([at - np.arange(len(at)), np.cumsum(per_text) - np.searchsorted(at, np.cumsum(per_text))]))
+    return np.delete(flat, at), np.diff(ends, prepend=0)
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -78,10 +93,13 @@ def tokenize(tokenizer, texts: pa.Array, by_word: bool = True) -> tuple[np.ndarr
     """(ids of all texts, number of ids of each text)."""
     if not by_word:
         return _flat(tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
+    # The tokenizer lower-cases; only the strings of special tokens must keep their case.
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     words = pc.list_flatten(lists).dictionary_encode()
-    flat, lengths = _flat(tokenizer.encode_batch_fast(words.dictionary.to_pylist(), add_special_tokens=False))
+    flat, lengths = _encode_words(tokenizer, words.dictionary.to_pylist())
     index = words.indices.to_numpy()
     starts = np.cumsum(lengths) - lengths
     each = lengths[index]

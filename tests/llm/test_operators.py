@@ -272,10 +272,7 @@ def test_language_model(docs):
 def test_language_model_is_a_distribution():
     """Bit by bit the model's byte probabilities sum to one, and a trained word beats noise."""
     words_, counts = pa.array(["the", "then", "thing", "stone"]), np.array([50, 20, 10, 5])
-    table = np.zeros((2, lm.ORDERS << 16), np.float32)
-    for batch in lm._bit_counts(16)(iter([pa.RecordBatch.from_arrays([words_, pa.array(counts)], names=["word", "c"])])):
-        s = batch.column(0).to_numpy()
-        table[0, s], table[1, s] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    table = lm.bit_counts([pa.RecordBatch.from_arrays([words_, pa.array(counts)], names=["word", "c"])], 16)
     mixer = lm.train_mixer(words_, counts, table, 16, 0.02)
     scores = lm.word_scores(pa.array(["the", "qzx"]), table, 16, mixer)
     assert scores[0] > scores[1] + 1
@@ -283,8 +280,7 @@ def test_language_model_is_a_distribution():
     data = lm.Bytes(one_byte)
     total = np.zeros(256)
     for bit, slots in data.bits(16):
-        zero = [table[0, k * 65536 + s] for k, s in enumerate(slots)]
-        one = [table[1, k * 65536 + s] for k, s in enumerate(slots)]
+        zero, one = [table[0, s] for s in slots], [table[1, s] for s in slots]
         x, gate = lm._inputs(zero, one, data.first)
         p = mixer.refine(mixer.mix(x, gate), gate)
         total += np.where(data.first, np.log2(np.where(bit == 1, p, 1 - p)), 0)[data.first]
