@@ -6,6 +6,7 @@ import argparse
 import getpass
 import os
 import sys
+import threading
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -108,12 +109,25 @@ def csv_path(reports: Path) -> str:
     return str(reports / "quillmatch_report.csv") if reports.is_dir() else str(reports)
 
 
+def show_progress(spark, workers: int, stop: threading.Event) -> None:
+    """Print the share of tasks done in the stages that run, once a second."""
+    tracker = spark.sparkContext.statusTracker()
+    while not stop.wait(1.0):
+        stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+        if stages:
+            progress = display.Progress(sum(x.numTasks for x in stages))
+            for _ in range(1 + sum(x.numCompletedTasks for x in stages)):
+                next(progress, None)
+            print(display.progress_line(progress, workers), end="\r")
+
+
 def run(a: argparse.Namespace) -> int:
     if a.root == "settings":
         now = config.modify(vars(a)) if a.settings == "modify" else config.read_settings()
         print(config.table(now))
         return schema.ExitCode.SUCCESS
 
+    from pyspark import SparkConf
     from pyspark.sql import SparkSession
 
     from .operators.report import compliance_table
@@ -122,7 +136,10 @@ def run(a: argparse.Namespace) -> int:
     from .sources.store import feature_store, read_csv, result_store
 
     s = config.read_settings()
-    spark = SparkSession.builder.appName("quillmatch").getOrCreate()
+    builder = SparkSession.builder.appName("quillmatch")
+    if SparkSession.getActiveSession() is None and not SparkConf().contains("spark.master"):
+        builder = builder.master(f"local[{s['workers']}]")
+    spark = builder.getOrCreate()
     reports, stored = s.get("reports"), s["reports_extension"] == "mongo"
     if a.root == "report":
         if not reports or not (os.path.exists(reports) if stored else os.path.exists(csv_path(reports))):
@@ -137,7 +154,13 @@ def run(a: argparse.Namespace) -> int:
         features=feature_store(spark, f"{reports}/features") if reports and stored else None, results=result_store(spark, f"{reports}/results") if reports and stored else None,
         csv_report=csv_path(reports) if reports and not stored else None,
     )
-    done = comparator.check(a.files, a.directories, a.github_user, a.github_urls)
+    stop = threading.Event()
+    if s["show_progress"]:
+        threading.Thread(target=show_progress, args=(spark, s["workers"], stop), daemon=True).start()
+    try:
+        done = comparator.check(a.files, a.directories, a.github_user, a.github_urls)
+    finally:
+        stop.set()
     if done is None:
         return schema.ExitCode.SUCCESS
     shown = done.shown(s["short_output"])

@@ -234,3 +234,19 @@ def test_pairwise_matrix(spark):
     f = spark.createDataFrame([("a", [1, 2, 3, 4]), ("b", [1, 2, 3, 4]), ("c", [9, 9, 9])], "filepath string, tokens array<int>").withColumn("collection_id", F.lit("x"))
     rows = {r["first"]: r for r in check.pairwise_matrix(f).collect()}
     assert rows["a"]["b"] == 1.0 and rows["a"]["c"] == 0.0
+
+
+@pytest.mark.parametrize("kind", ["csv", "mongo"])
+def test_command_line(spark, works, tmp_path, monkeypatch, capsys, kind):
+    monkeypatch.setenv("QUILLMATCH_CONFIG", str(tmp_path / "settings.json"))
+    reports = tmp_path / "reports"
+    reports.mkdir()
+    assert cli.main(["report", "create", "-p", str(tmp_path)]) == 1
+    assert cli.main(["settings", "modify", "-r", str(reports), "-re", kind, "-t", "60", "-sp", "1"]) == 0
+    assert cli.main(["settings", "show"]) == 0 and "60" in capsys.readouterr().out
+    assert cli.main(["check", "-ext", "py", "-d", str(works)]) == 200
+    assert "May be similar" in capsys.readouterr().out
+    assert cli.main(["check", "-ext", "py", "-f", str(works / "three.py")]) == 0
+    for report_type in ("general", "sources"):
+        assert cli.main(["report", "create", "-p", str(tmp_path), "-t", report_type]) == 0
+    assert (tmp_path / "report.html").exists() and (tmp_path / "sources.html").exists()
