@@ -5,6 +5,8 @@ Nothing here is imported by the rest of the library.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACE_CLASS = r"[ \x09-\x0D]"
+#: Folders of this process, removed at its end.
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{tempfile.gettempdir()}/quillmatch-{spark.sparkContext.applicationId}"
+    own = f"{tempfile.gettempdir()}/quillmatch-{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -59,6 +67,12 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch data in the shared folder, once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillmatch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -78,13 +78,12 @@ def _template(word: Column, inside: Column) -> Column:
     )
 
 
-def _with_windows(df: DataFrame, window: int) -> DataFrame:
-    """Adds hs: the hash of the window that starts at each word."""
-    df = df.withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
-    return df.withColumn("hs", F.when(
-        F.size("wh") >= window,
-        F.transform(F.sequence(F.lit(0), F.size("wh") - window), lambda i: F.xxhash64(*[F.get("wh", i + k) for k in range(window)])),
-    )).drop("wh")
+def _window_hashes(hashes: str, window: int) -> Column:
+    """The hash of the window that starts at each word; null if there are too few words."""
+    return F.when(
+        F.size(hashes) >= window,
+        F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)])),
+    )
 
 
 def benchmark_windows(benchmark: DataFrame, options: Options = Options()) -> DataFrame:
@@ -102,38 +101,43 @@ def benchmark_windows(benchmark: DataFrame, options: Options = Options()) -> Dat
     return rows.join(totals, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
 
-def _hits(docs: DataFrame, wanted: list[int], size: int) -> DataFrame:
-    """doc_id, at, shape and plain of the documents' windows whose hash is wanted."""
-    df = _with_windows(_tokens(common.texts(docs)), size)
-    met = F.filter(F.transform("hs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"].isin(wanted))
+def _hits(docs: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
+    """doc_id, h, size, doc_at, doc_shape and doc_plain of the documents' windows
+    whose hash is wanted for their size: one scan for all sizes."""
+    df = _tokens(common.texts(docs)).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
+
+    def met_of(size: int, hashes: list[int]) -> Column:
+        marked = F.transform(_window_hashes("wh", size), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.lit(size).alias("n")))
+        return F.coalesce(F.filter(marked, lambda x: x["h"].isin(hashes)), F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+
+    found = [met_of(size, hashes) for size, hashes in sorted(wanted.items())]
     # A condition that isn't deterministic keeps the filter below from being
     # pushed down, which would copy the whole chain of expressions into it.
-    df = df.withColumn("met", F.when(F.monotonically_increasing_id() >= 0, met))
-    df = df.drop("hs").where(F.size("met") > 0).withColumn("met", F.explode("met"))
-    return df.select(
-        "doc_id", F.col("met.h").alias("h"), F.col("met.i").alias("doc_at"),
-        F.slice("shape", F.col("met.i") + 1, size).alias("doc_shape"), F.slice("plain", F.col("met.i") + 1, size).alias("doc_plain"),
-    )
+    df = df.withColumn("met", F.when(F.monotonically_increasing_id() >= 0, F.concat(*found)))
+    df = df.drop("wh").where(F.size("met") > 0).withColumn("met", F.explode("met"))
+    cut = lambda c: F.slice(c, F.col("met.i") + 1, F.col("met.n"))
+    return df.select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.col("met.i").alias("doc_at"), cut("shape").alias("doc_shape"), cut("plain").alias("doc_plain"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, item_id, n_windows (met), item_windows, n_exact (windows met word
     for word) of every leaked item."""
     windows = common.materialize(benchmark_windows(benchmark, options), "benchmark")
+    # The benchmark is the query set; its hashes go to the scan in blocks.
+    pairs = sorted({(r["size"], r["hash"]) for r in windows.select("size", "hash").distinct().collect()})
+    side = F.broadcast(windows) if len(pairs) <= options.broadcast_windows else windows
     found = None
-    for size in sorted(r[0] for r in windows.select("size").distinct().collect()):
-        own = windows.where(F.col("size") == size)
-        # The benchmark is the query set; its hashes go to the scan in blocks.
-        wanted = sorted(r[0] for r in own.select("hash").distinct().collect())
-        for k in range(0, len(wanted), options.block):
-            hits = _hits(docs, wanted[k : k + options.block], size)
-            side = F.broadcast(own) if len(wanted) <= options.broadcast_windows else own
-            met = hits.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_shape") == F.col("shape")))
-            met = met.select(
-                "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"),
-                F.filter(F.zip_with(F.arrays_zip("shape", "plain"), "doc_plain", lambda a, b: F.struct(a["shape"].alias("shape"), a["plain"].alias("item"), b.alias("doc"))), lambda x: x["shape"].startswith("<")).alias("slots"),
-            )
-            found = met if found is None else found.unionByName(met)
+    for k in range(0, len(pairs), options.block):
+        wanted: dict[int, list[int]] = {}
+        for size, value in pairs[k : k + options.block]:
+            wanted.setdefault(size, []).append(value)
+        hits = _hits(docs, wanted)
+        met = hits.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_shape") == F.col("shape")))
+        met = met.select(
+            "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"),
+            F.filter(F.zip_with(F.arrays_zip("shape", "plain"), "doc_plain", lambda a, b: F.struct(a["shape"].alias("shape"), a["plain"].alias("item"), b.alias("doc"))), lambda x: x["shape"].startswith("<")).alias("slots"),
+        )
+        found = met if found is None else found.unionByName(met)
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item}, n_windows long, item_windows long, n_exact long")

@@ -64,6 +64,8 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
             else:
                 passages.append((level, [line[m.end() :]]))
         before = level
+    if not passages:
+        return text, []
     return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines in passages]
 
 
