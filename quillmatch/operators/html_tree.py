@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from html.parser import HTMLParser
 
 from .python_source import add_node, empty_features, sha256_of
@@ -14,14 +15,13 @@ class _Tags(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out, self.open = empty_features(), []
-        self.ids: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         depth = len(self.open) + 1
         add_node(self.out, tag, depth)
         if depth == 1:
             self.out["head_nodes"].append(f"{tag}[{self.getpos()[0]}]")
-        self.out["tokens"].append(self.ids.setdefault(tag, len(self.ids)))
+        self.out["tokens"].append(zlib.crc32(tag.encode()) >> 1)
         self.out["tokens_pos"].append(self.getpos())
         group = self.out["keywords"] if tag in SCRIPTING else self.out["operators"]
         group[tag] = group.get(tag, 0) + 1

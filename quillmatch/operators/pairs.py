@@ -3,15 +3,15 @@
 At a threshold above 54 percent (with the default weights) any pair that can
 survive shares an n-gram, so candidates come from an equi-join on n-grams: an
 exact inverted index. The least Jaccard coefficient that the threshold implies
-also bounds the ratio of the set sizes, which prunes inside the join. At lower
-thresholds, or none, every pair has to be compared, by definition.
+also bounds the ratio of the set sizes, which prunes inside the join, and lets
+each work leave its most frequent grams out of it. At lower thresholds, or none, every pair has to be compared, by definition.
 """
 
 from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.counters import least_jaccard
@@ -28,27 +28,40 @@ def iterations(count: int, mode: str) -> int:
     return comb(count, 2) if count > 1 else 0
 
 
-def _apart(mode: str, a: Column, b: Column) -> Column:
-    return a < b if mode == "one_to_one" else F.lit(True)
-
-
 def gram_rows(features: DataFrame, n: int = DEFAULT_NGRAMS) -> DataFrame:
     """filepath, collection_id, n_grams (distinct) and one gram hash a row."""
     sized = features.select("filepath", "collection_id", hashed_ngrams("tokens", n, unique=True).alias("grams"))
     return sized.select("filepath", "collection_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
 
 
+def prefix_rows(grams: DataFrame, least: float) -> DataFrame:
+    """Of each work's grams those that a partner must meet.
+
+    A pair at the least coefficient shares at least ``ceil(least * n)`` of a
+    work's n grams, so it meets among any ``n - ceil(least * n) + 1`` of them.
+    The rarest are taken: a passage that very many works share is left out of
+    the join as long as a work has enough else, and grams of one work alone
+    never enter it."""
+    often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("gram", "g")
+    rows = grams.join(often, F.col("gram") == F.col("g")).drop("g")
+    own = Window.partitionBy("filepath")
+    rank = F.row_number().over(own.orderBy("df", "gram")) + F.col("n_grams") - F.count("*").over(own)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n_grams") - F.ceil(F.col("n_grams") * least - SLACK) + 1).drop("rank", "df")
+
+
 def shared_grams(features: DataFrame, least: float, n: int = DEFAULT_NGRAMS, mode: str = "many_to_many") -> DataFrame:
     """(first, second, n_common, n_first, n_second) of all pairs whose Jaccard
     coefficient is at least ``least`` > 0."""
-    grams = gram_rows(features, n)
-    # Few columns go through the join; works re-join their features by path later.
-    spread = grams.repartition("gram")
-    a = spread.select(F.col("filepath").alias("first"), F.col("collection_id").alias("c1"), F.col("n_grams").alias("n_first"), "gram")
-    b = spread.select(F.col("filepath").alias("second"), F.col("collection_id").alias("c2"), F.col("n_grams").alias("n_second"), F.col("gram").alias("g"))
+    rows = prefix_rows(gram_rows(features, n), least)
+    # Few columns go through the join; sets are joined back to the pairs that met.
+    a = rows.select(F.col("filepath").alias("first"), F.col("collection_id").alias("c1"), F.col("n_grams").alias("n_first"), "gram")
+    b = rows.select(F.col("filepath").alias("second"), F.col("collection_id").alias("c2"), F.col("n_grams").alias("n_second"), F.col("gram").alias("g"))
     close = (F.col("n_first") >= F.col("n_second") * (least - SLACK)) & (F.col("n_second") >= F.col("n_first") * (least - SLACK))
-    met = a.join(b, (F.col("gram") == F.col("g")) & (F.col("first") != F.col("second")) & close & (_apart(mode, F.col("c1"), F.col("c2")) if mode == "one_to_one" else F.col("first") < F.col("second")))
-    counted = met.groupBy("first", "second").agg(F.count("*").alias("n_common"), F.first("n_first").alias("n_first"), F.first("n_second").alias("n_second"))
+    apart = (F.col("c1") < F.col("c2")) & (F.col("first") != F.col("second")) if mode == "one_to_one" else F.col("first") < F.col("second")
+    met = a.join(b, (F.col("gram") == F.col("g")) & close & apart).select("first", "second").distinct()
+    sets = features.select("filepath", hashed_ngrams("tokens", n, unique=True).alias("grams"))
+    both = met.join(sets.select(F.col("filepath").alias("p"), F.col("grams").alias("x")), F.col("first") == F.col("p")).join(sets.select(F.col("filepath").alias("q"), F.col("grams").alias("y")), F.col("second") == F.col("q"))
+    counted = both.select("first", "second", F.size(F.array_intersect("x", "y")).cast("long").alias("n_common"), F.size("x").alias("n_first"), F.size("y").alias("n_second"))
     j = F.col("n_common") / (F.col("n_first") + F.col("n_second") - F.col("n_common"))
     return counted.where(j >= least - SLACK)
 
