@@ -12,6 +12,7 @@ from pathlib import Path
 
 from . import display, schema
 from . import settings as config
+from .translate import tr, use
 from .sources.links import ContentUrl
 
 VERSION = "0.1.0"
@@ -23,7 +24,7 @@ class Unique(argparse.Action):
     def __call__(self, parser, namespace, values, option=None):
         repeated = sorted({str(v) for v in values if list(values).count(v) > 1})
         if repeated:
-            parser.error(f"You cannot specify the same value multiple times. You provided: {', '.join(repeated)}")
+            parser.error(tr("You cannot specify the same value multiple times. You provided: {}", ", ".join(repeated)))
         setattr(namespace, self.dest, list(values))
 
 
@@ -36,23 +37,23 @@ class Password(argparse.Action):
 
 def directory(path: str) -> Path:
     if not os.path.isdir(path):
-        raise argparse.ArgumentTypeError(f"Directory '{path}' not found or not a directory.")
+        raise argparse.ArgumentTypeError(tr("Directory '{}' not found or not a directory.", path))
     return Path(path).resolve()
 
 
 def file(path: str) -> Path:
     if not os.path.isfile(path):
-        raise argparse.ArgumentTypeError(f"File '{path}' not found or not a file.")
+        raise argparse.ArgumentTypeError(tr("File '{}' not found or not a file.", path))
     return Path(path).resolve()
 
 
 def parser() -> argparse.ArgumentParser:
-    root = argparse.ArgumentParser(prog="quillmatch", description="Finds similar parts of source codes.", formatter_class=argparse.ArgumentDefaultsHelpFormatter)
+    root = argparse.ArgumentParser(prog="quillmatch", description=tr("Finds similar parts of source codes."), formatter_class=argparse.ArgumentDefaultsHelpFormatter)
     root.add_argument("-v", "--version", action="version", version=f"quillmatch {VERSION}")
     commands = root.add_subparsers(dest="root", required=True, metavar="COMMAND")
 
-    settings = commands.add_parser("settings", help="Modify and show settings.").add_subparsers(dest="settings", required=True, metavar="COMMAND")
-    m = settings.add_parser("modify", help="Change settings.")
+    settings = commands.add_parser("settings", help=tr("Modify and show settings.")).add_subparsers(dest="settings", required=True, metavar="COMMAND")
+    m = settings.add_parser("modify", help=tr("Change settings."))
     m.add_argument("-env", "--environment", type=file, help="File with the access token of the code host.")
     m.add_argument("-r", "--reports", type=Path, metavar="PATH", help="File or folder of reports.")
     m.add_argument("-re", "--reports_extension", choices=schema.REPORTS_EXTENSIONS)
@@ -68,9 +69,9 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("-mpt", "--mongo-port", type=int, choices=range(1, 65536), metavar="{1, 2, ..., 65535}")
     m.add_argument("-mu", "--mongo-user")
     m.add_argument("-mps", "--mongo-pass", nargs="?", action=Password)
-    settings.add_parser("show", help="Show settings.")
+    settings.add_parser("show", help=tr("Show settings."))
 
-    check = commands.add_parser("check", help="Search for similar works.")
+    check = commands.add_parser("check", help=tr("Search for similar works."))
     check.add_argument("-d", "--directories", type=directory, nargs="+", action=Unique, default=[], metavar="DIRECTORY")
     check.add_argument("-f", "--files", type=file, nargs="+", action=Unique, default=[], metavar="FILE")
     check.add_argument("--mode", choices=schema.MODES, default="many_to_many")
@@ -82,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("-gu", "--github-user", default="")
     check.add_argument("-gurl", "--github-urls", type=ContentUrl, nargs="+", action=Unique, default=[], metavar="URL")
 
-    create = commands.add_parser("report", help="Work with reports.").add_subparsers(dest="report", required=True, metavar="COMMAND").add_parser("create", help="Write a report.")
+    create = commands.add_parser("report", help=tr("Work with reports.")).add_subparsers(dest="report", required=True, metavar="COMMAND").add_parser("create", help=tr("Write a report."))
     create.add_argument("-p", "--path", type=Path, required=True)
     create.add_argument("-t", "--type", choices=schema.REPORT_TYPES, default="general")
     create.add_argument("-frp", "--first-root-path")
@@ -91,17 +92,18 @@ def parser() -> argparse.ArgumentParser:
 
 
 def parse(args: Sequence[str] | None = None) -> argparse.Namespace:
+    use(config.read_settings()["language"])
     p = parser()
     a = p.parse_args(args)
     if a.root == "settings" and a.settings == "modify" and not any(getattr(a, k, None) is not None for k in config.KEYS):
-        p.error("There is nothing to modify; please provide at least one argument.")
+        p.error(tr("There is nothing to modify; please provide at least one argument."))
     if a.root == "check":
         if a.repo_regexp and not a.github_user:
-            p.error("The 'repo-regexp' option requires the provided 'github-user' option.")
+            p.error(tr("The 'repo-regexp' option requires the provided 'github-user' option."))
         if a.path_regexp and not (a.directories or a.github_user or a.github_urls):
-            p.error("The 'path-regexp' option requires the provided 'directories', 'github-user', or 'github-urls' options.")
+            p.error(tr("The 'path-regexp' option requires the provided 'directories', 'github-user', or 'github-urls' options."))
     if a.root == "report" and bool(a.first_root_path) != bool(a.second_root_path):
-        p.error("All paths must be provided.")
+        p.error(tr("All paths must be provided."))
     return a
 
 
@@ -143,7 +145,7 @@ def run(a: argparse.Namespace) -> int:
     reports, stored = s.get("reports"), s["reports_extension"] == "mongo"
     if a.root == "report":
         if not reports or not (os.path.exists(reports) if stored else os.path.exists(csv_path(reports))):
-            config.log.error("There are no reports.")
+            config.log.error(tr("There are no reports."))
             return schema.ExitCode.INVALID
         infos = result_store(spark, f"{reports}/results").read() if stored else read_csv(spark, csv_path(reports))
         html_report_create(infos, str(a.path), a.type, s["threshold"], s["language"], a.first_root_path, a.second_root_path)
@@ -176,10 +178,10 @@ def main(args: Sequence[str] | None = None) -> int:
     try:
         return run(a)
     except KeyboardInterrupt:
-        config.log.warning("The util was stopped by the user.")
+        config.log.warning(tr("The util was stopped by the user."))
         return schema.ExitCode.KEYBOARD
     except Exception:
-        config.log.error("An unexpected error occurred while running the util.", exc_info=True)
+        config.log.error(tr("An unexpected error occurred while running the util."), exc_info=True)
         return schema.ExitCode.UNEXPECTED
 
 

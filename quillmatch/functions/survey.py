@@ -36,6 +36,11 @@ def mean_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(value).alias("mean_value"))
 
 
+def describe(df: DataFrame, *columns: str) -> DataFrame:
+    """Count, mean, deviation, minimum, quartiles and maximum of the columns."""
+    return df.select(*columns).summary()
+
+
 def rolling_mean(df: DataFrame, order: str, value: str, size: int = 20, partition: str | None = None) -> DataFrame:
     """Adds rolling_mean over the last ``size`` rows; null until there are as many.
 

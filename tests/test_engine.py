@@ -189,6 +189,19 @@ def test_bad_arguments(args):
         cli.parse(args)
 
 
+def test_messages_in_russian(tmp_path, monkeypatch, capsys):
+    path = tmp_path / "s.json"
+    config.modify({"language": "ru"}, path)
+    monkeypatch.setenv("QUILLMATCH_CONFIG", str(path))
+    with pytest.raises(SystemExit):
+        cli.parse(["settings", "modify"])
+    assert "Нечего изменять" in capsys.readouterr().err
+    config.modify({"language": "en"}, path)
+    with pytest.raises(SystemExit):
+        cli.parse(["settings", "modify"])
+    assert "nothing to modify" in capsys.readouterr().err
+
+
 def test_settings(tmp_path):
     path = tmp_path / "s.json"
     assert config.read_settings(path)["threshold"] == 65
