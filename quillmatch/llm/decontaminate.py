@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
 Words are canonicalised into templates: numbers become ``<num>``, units
-``<unit>``, capitalised words inside a sentence ``<name>``; all others are
-lower-cased and stripped of surrounding punctuation. Every window of ``window``
+``<unit>``, capitalised words inside a sentence ``<name>`` (and, in any case, the
+words that the benchmark writes with a capital only); all others are lower-cased
+and stripped of surrounding punctuation. Every window of ``window``
 template words of a benchmark item is hashed; a document's windows are hashed
 the same way and met with them by hash. Where they meet, the template words are
 compared again (so no hash collision counts), and the slots of all windows of
@@ -58,26 +59,52 @@ class Options:
     broadcast_windows: int = 200_000
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    """Adds plain (words without case and surrounding punctuation) and shape (templates)."""
+def _bare(df: DataFrame) -> DataFrame:
+    """Adds raw (words with a letter or digit) and bare (without surrounding punctuation)."""
     df = df.withColumn("raw", F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))).drop("text")
-    df = df.withColumn("bare", F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}+\-]+|[^\p{L}\p{N}%]+$", "")))
-    return df.withColumns({
+    return df.withColumn("bare", F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}+\-]+|[^\p{L}\p{N}%]+$", "")))
+
+
+def _inside(i: Column) -> Column:
+    """The word at i does not begin a sentence."""
+    return (i > 0) & ~F.get("raw", i - 1).rlike(r"[.!?:]$")
+
+
+def _capital(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}\p{Ll}+$")
+
+
+def _tokens(df: DataFrame, names: list[str]) -> DataFrame:
+    """Adds plain (words without case and surrounding punctuation) and shape (templates)."""
+    return _bare(df).withColumns({
         "plain": F.transform("bare", F.lower),
-        "shape": F.transform("bare", lambda w, i: _template(w, (i > 0) & ~F.get("raw", i - 1).rlike(r"[.!?:]$"))),
+        "shape": F.transform("bare", lambda w, i: _template(w, _inside(i), names)),
     }).drop("raw", "bare")
 
 
-def _template(word: Column, inside: Column) -> Column:
+def _template(word: Column, inside: Column, names: list[str]) -> Column:
     low = F.lower(word)
+    name = inside & _capital(word)
     return (
         F.when(word.rlike(NUMBER), "<num>")
         .when(low.isin(UNITS), "<unit>")
-        .when(inside & word.rlike(r"^\p{Lu}\p{Ll}+$"), "<name>")
+        .when(name | low.isin(names) if names else name, "<name>")
         .otherwise(low)
     )
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return common.texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
+
+
+def benchmark_names(benchmark: DataFrame) -> list[str]:
+    """Words that the benchmark writes with a capital inside sentences and never
+    without: they are names in texts of any case. Part of the query set."""
+    words = _bare(_items(benchmark)).select(F.explode(F.transform("bare", lambda w, i: F.struct(w.alias("w"), (_inside(i) & _capital(w)).alias("name")))).alias("x"))
+    kinds = words.groupBy(F.lower("x.w").alias("w")).agg(F.max("x.name").alias("name"), F.max(F.col("x.w").rlike(r"^\p{Ll}")).alias("plain"))
+    return sorted(r["w"] for r in kinds.where("name and not plain").collect())
+
+
 def _window_hashes(hashes: str, window: int) -> Column:
     """The hash of the window that starts at each word; null if there are too few words."""
     return F.when(
@@ -86,9 +113,9 @@ def _window_hashes(hashes: str, window: int) -> Column:
     )
 
 
-def benchmark_windows(benchmark: DataFrame, options: Options = Options()) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, names: list[str], options: Options = Options()) -> DataFrame:
     """hash, size, item_id, at, shape and plain (of the window), n_windows of the item."""
-    items = _tokens(common.texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id"))
+    items = _tokens(_items(benchmark), names)
     items = items.withColumn("size", F.least(F.lit(options.window), F.size("shape"))).where(F.col("size") >= options.min_words)
     rows = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("shape") - F.col("size"))))
     rows = rows.withColumns({"shape": F.slice("shape", F.col("at") + 1, F.col("size")), "plain": F.slice("plain", F.col("at") + 1, F.col("size"))})
@@ -101,10 +128,10 @@ def benchmark_windows(benchmark: DataFrame, options: Options = Options()) -> Dat
     return rows.join(totals, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
 
-def _hits(docs: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
+def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> DataFrame:
     """doc_id, h, size, doc_at, doc_shape and doc_plain of the documents' windows
     whose hash is wanted for their size: one scan for all sizes."""
-    df = _tokens(common.texts(docs)).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
+    df = _tokens(common.texts(docs), names).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
 
     def met_of(size: int, hashes: list[int]) -> Column:
         marked = F.transform(_window_hashes("wh", size), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.lit(size).alias("n")))
@@ -122,7 +149,8 @@ def _hits(docs: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, item_id, n_windows (met), item_windows, n_exact (windows met word
     for word) of every leaked item."""
-    windows = common.materialize(benchmark_windows(benchmark, options), "benchmark")
+    names = benchmark_names(benchmark)
+    windows = common.materialize(benchmark_windows(benchmark, names, options), "benchmark")
     # The benchmark is the query set; its hashes go to the scan in blocks.
     pairs = sorted({(r["size"], r["hash"]) for r in windows.select("size", "hash").distinct().collect()})
     side = F.broadcast(windows) if len(pairs) <= options.broadcast_windows else windows
@@ -131,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
         wanted: dict[int, list[int]] = {}
         for size, value in pairs[k : k + options.block]:
             wanted.setdefault(size, []).append(value)
-        hits = _hits(docs, wanted)
+        hits = _hits(docs, wanted, names)
         met = hits.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_shape") == F.col("shape")))
         met = met.select(
             "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"),

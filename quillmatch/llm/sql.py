@@ -38,18 +38,26 @@ def quality_sql(limits: quality.Limits = quality.Limits()) -> str:
       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j"""
 
 
+def _bare(table: str, key: str) -> str:
+    return f"""SELECT *, list_transform(raw, lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}+\\-]+|[^\\p{{L}}\\p{{N}}%]+$', '', 'g')) AS bare
+        FROM (SELECT {key}, list_filter({_SPLIT.format("coalesce(text, '')")}, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS raw FROM {table})"""
+
+
+_NAME = "i > 1 AND NOT regexp_matches(raw[i - 1], '[.!?:]$') AND regexp_matches(bare[i], '^\\p{Lu}\\p{Ll}+$')"
+
+
 def _templates(table: str, key: str) -> str:
     units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
     return f"""SELECT {key}, list_transform(bare, lambda x: lower(x)) AS plain, list_transform(range(1, len(bare) + 1), lambda i:
         CASE WHEN regexp_matches(bare[i], '{decontaminate.NUMBER}') THEN '<num>' WHEN lower(bare[i]) IN ({units}) THEN '<unit>'
-        WHEN i > 1 AND NOT regexp_matches(raw[i - 1], '[.!?:]$') AND regexp_matches(bare[i], '^\\p{{Lu}}\\p{{Ll}}+$') THEN '<name>' ELSE lower(bare[i]) END) AS shape
-      FROM (SELECT *, list_transform(raw, lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}+\\-]+|[^\\p{{L}}\\p{{N}}%]+$', '', 'g')) AS bare
-        FROM (SELECT {key}, list_filter({_SPLIT.format("coalesce(text, '')")}, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS raw FROM {table}))"""
+        WHEN ({_NAME}) OR list_contains(names, lower(bare[i])) THEN '<name>' ELSE lower(bare[i]) END) AS shape FROM ({_bare(table, key)}), names"""
 
 
 def decontaminate_sql(options: decontaminate.Options = decontaminate.Options()) -> str:
     n = options.window
-    return f"""WITH items AS ({_templates('benchmark', 'item_id')}),
+    return f"""WITH words AS (SELECT unnest(bare) AS x, unnest(list_transform(range(1, len(bare) + 1), lambda i: {_NAME})) AS name FROM ({_bare('benchmark', 'item_id')})),
+    names AS (SELECT coalesce(list(w), []) AS names FROM (SELECT lower(x) AS w FROM words GROUP BY lower(x) HAVING bool_or(name) AND NOT bool_or(regexp_matches(x, '^\\p{{Ll}}')))),
+    items AS ({_templates('benchmark', 'item_id')}),
     iw AS (SELECT item_id, least({n}, len(shape)) AS size, unnest(range(1, len(shape) - least({n}, len(shape)) + 2)) AS pos, shape, plain FROM items WHERE len(shape) >= {options.min_words}),
     ix AS (SELECT item_id, size, pos, shape[pos:pos + size - 1] AS s, plain[pos:pos + size - 1] AS p FROM iw),
     iy AS (SELECT *, array_to_string(s, chr(31)) AS k, count(*) OVER (PARTITION BY item_id) AS item_windows FROM ix WHERE len(list_filter(s, lambda x: NOT starts_with(x, '<'))) >= least({options.min_plain}, size)),

@@ -177,14 +177,14 @@ def test_decontamination(spark):
     other = ITEM.replace("12", "35").replace("7", "9").replace("Maria", "Olga").replace("Peter", "Hans")
     mixed = ITEM.replace("12", "35", 1)
     rows = [
-        (1, prose(40, 1) + " " + ITEM + " " + prose(40, 2)), (2, other), (3, mixed), (4, prose(300, 3)), (5, None), (6, ""), (7, ITEM.upper()),
+        (1, prose(40, 1) + " " + ITEM + " " + prose(40, 2)), (2, other), (3, mixed), (4, prose(300, 3)), (5, None), (6, ""), (7, ITEM.upper()), (10, "so " + ITEM.lower()),
         (8, "x " + "the exact passage of this second item is quite plain and holds neither numbers nor any names at all" + " y"), (9, " ".join(str(k) for k in range(200))),
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
-    assert {(1, 0), (2, 0), (8, 3)} <= found and found <= {(1, 0), (2, 0), (8, 3)}
-    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 5, 6, 7, 9}
-    assert decontaminate.clean(docs, bench.limit(0)).count() == 9
+    assert found == {(1, 0), (2, 0), (7, 0), (8, 3), (10, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 5, 6, 9}
+    assert decontaminate.clean(docs, bench.limit(0)).count() == 10
     small = decontaminate.Options(block=3)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, small).collect()} == found
 
