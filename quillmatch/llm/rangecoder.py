@@ -36,18 +36,20 @@ LANES = 4096
 SLOT_BITS = 11
 SYMBOL_BITS, CLASS_BITS = 18, 12
 WORD = np.uint64(32)
+_LAST = np.uint64((1 << SYMBOL_BITS + CLASS_BITS) - 1)
+
+_ONE, _TWO, _SHIFT, _MASK = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - SLOT_BITS), np.uint32((1 << SLOT_BITS) - 1)
 
 _x = np.arange(-2047, 2048)
 #: 12-bit logistic function and its inverse, rounded to whole numbers.
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-_x / 256.0))), 1, 4095).astype(np.int32)
+_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-_x / 256.0))), 1, 4090).astype(np.int32)
 _STRETCH = np.clip(np.round(256.0 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
 
 
 class _Model:
-    """The state of ``n`` blocks in step."""
+    """The state of ``n`` blocks in step, in 32-bit whole numbers."""
 
     def __init__(self, n: int) -> None:
-        self.n = n
         lane = np.arange(n, dtype=np.int64)
         self.slots = lane << SLOT_BITS
         self.two = np.zeros(n << SLOT_BITS, np.int32)  # id * 4 + confidence
@@ -55,50 +57,52 @@ class _Model:
         self.by_two = np.tile(np.array([1 << 9, 1 << 14, 1 << 15, 3 << 14], np.int32), n)
         self.by_one = np.tile(np.array([1 << 9, 1 << 10, 1 << 13, 1 << 15, 1 << 13, 3 << 14, 1 << 14, 7 << 13], np.int32), n)
         self.second = np.tile(np.array([1 << 8, 1 << 12, 1 << 13, 1 << 14], np.int32), n)
-        self.at4, self.at8 = (lane * 4).astype(np.int32), (lane * 8).astype(np.int32)
+        self.at4, self.at8 = lane * 4, lane * 8
         self.weight_two = np.full(n, 1 << 15, np.int32)
         self.weight_one = np.full(n, 1 << 15, np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.hash_one = np.zeros(n, np.uint32)
+        self.hash_two = np.zeros(n, np.uint32)
+        self.time = 0
 
     def predict(self):
         """The guesses of orders 2 and 1, and the bounds (of 2**12) of their classes."""
-        mask = (1 << SLOT_BITS) - 1
-        self.i1 = (self.last * 40503 >> 7 & mask) + self.slots
-        self.i2 = ((self.last * 40503 + self.before * 60493) >> 7 & mask) + self.slots
+        self.i1 = (self.hash_one >> _SHIFT & _MASK) + self.slots
+        self.i2 = (self.hash_one + self.hash_two >> _SHIFT & _MASK) + self.slots
         self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
         self.g2, self.g1 = self.e2 >> 2, self.e1 >> 2
-        c2, c1 = self.e2 & 3, self.e1 & 3
+        self.c2, self.c1 = self.e2 & 3, self.e1 & 3
         self.same = self.g2 == self.g1
-        self.j2 = self.at4 + c2
-        self.j1 = self.at8 + (c1 + 4 * self.same)
-        self.j0 = self.at4 + c1
+        self.j2 = self.at4 + self.c2
+        self.j0 = self.at4 + self.c1
+        self.j1 = self.at8 + (self.c1 | self.same.view(np.int8) << 2)
         self.p2, self.p1, self.p0 = self.by_two.take(self.j2), self.by_one.take(self.j1), self.second.take(self.j0)
         self.s2, self.s1 = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4)
-        mixed = (self.weight_two * self.s2 + self.weight_one * self.s1) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
-        self.p = np.minimum(self.p, 4090)
-        rest = (4094 - self.p) * (self.p0 >> 4) >> 12
-        self.bound = self.p + np.where(self.same, 0, rest + 1)
+        mixed = (self.weight_two * self.s2 + self.weight_one * self.s1 >> 16) + 2047
+        self.p = _SQUASH.take(mixed, mode="clip")
+        rest = ((4094 - self.p) * (self.p0 >> 4) >> 12) + 1
+        self.bound = np.where(self.same, self.p, self.p + rest)
         return self.g2, self.g1, self.p, self.bound
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids (int32) that were coded."""
         hit2, hit1 = self.g2 == ids, self.g1 == ids
-        error = (hit2 * 4095) - self.p
+        h2 = hit2.astype(np.int32)
+        error = h2 * 4095 - self.p
         self.weight_two += self.s2 * error >> 10
         self.weight_one += self.s1 * error >> 10
-        np.clip(self.weight_two, -(1 << 18), 1 << 18, out=self.weight_two)
-        np.clip(self.weight_one, -(1 << 18), 1 << 18, out=self.weight_one)
-        goal = hit2 * 65535
-        self.by_two[self.j2] = self.p2 + ((goal - self.p2) >> 5)
-        self.by_one[self.j1] = self.p1 + ((goal - self.p1) >> 5)
-        step = (hit1 * 65535 - self.p0) >> 5
-        self.second[self.j0] = self.p0 + step * ~(hit2 | self.same)
+        self.time += 1
+        if not self.time % 16:  # 16 steps can't carry a weight out of 32 bits
+            for w in (self.weight_two, self.weight_one):
+                np.minimum(np.maximum(w, -(1 << 18), out=w), 1 << 18, out=w)
+        goal = h2 * 65535
+        self.by_two[self.j2] = self.p2 + (goal - self.p2 >> 5)
+        self.by_one[self.j1] = self.p1 + (goal - self.p1 >> 5)
+        self.second[self.j0] = np.where(hit2 | self.same, self.p0, self.p0 + (hit1.astype(np.int32) * 65535 - self.p0 >> 5))
         fresh = ids * 4 + 1
-        self.two[self.i2] = np.where(hit2, self.e2 + ((self.e2 & 3) < 3), np.where(self.e2 & 2, self.e2 - 1, fresh))
-        self.one[self.i1] = np.where(hit1, self.e1 + ((self.e1 & 3) < 3), np.where(self.e1 & 2, self.e1 - 1, fresh))
-        self.before, self.last = self.last, ids.astype(np.int64)
+        self.two[self.i2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 1, fresh))
+        self.one[self.i1] = np.where(hit1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 1, fresh))
+        self.hash_two = self.hash_one * _TWO
+        self.hash_one = ids.view(np.uint32) * _ONE
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
@@ -111,23 +115,23 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return scaled
 
 
-def _encode_lanes(ids: np.ndarray, start: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    """Code words of each block; ids, start and freq are blocks x positions."""
-    n, length = ids.shape
+def _encode_lanes(ranks: np.ndarray, symbols: np.ndarray, start: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
+    """Code words of each block; ranks (blocks x positions) are places among the symbols."""
+    n, length = ranks.shape
     model = _Model(n)
     low = np.zeros(n, np.uint64)
     span = np.full(n, (1 << 64) - 1, np.uint64)
     words = np.zeros((n, length * 30 // 32 + 4), np.int64)
     used = np.zeros(n, np.int64)
-    ids_t, start_t, freq_t = (np.ascontiguousarray(x.T) for x in (ids, start, freq))
+    ranks = np.ascontiguousarray(ranks.T)
     for t in range(length):
-        now = ids_t[t]
+        rank = ranks[t]
+        now = symbols.take(rank)
         g2, g1, p, bound = model.predict()
-        hit2 = g2 == now
-        hit1 = ~hit2 & (g1 == now)
-        left = 4096 - bound
-        begin = np.where(hit2, 0, np.where(hit1, p << SYMBOL_BITS, (bound << SYMBOL_BITS) + left * start_t[t]))
-        width = np.where(hit2, p << SYMBOL_BITS, np.where(hit1, (bound - p) << SYMBOL_BITS, left * freq_t[t]))
+        hit2, hit1 = g2 == now, g1 == now
+        low_end, high_end, left = p << SYMBOL_BITS, bound << SYMBOL_BITS, 4096 - bound
+        begin = np.where(hit2, 0, np.where(hit1, low_end, high_end + left * start.take(rank)))
+        width = np.where(hit2, low_end, np.where(hit1, high_end - low_end, left * freq.take(rank)))
         unit = span >> np.uint64(SYMBOL_BITS + CLASS_BITS)
         new = low + unit * begin.astype(np.uint64)
         span = unit * width.astype(np.uint64)
@@ -147,6 +151,7 @@ def _encode_lanes(ids: np.ndarray, start: np.ndarray, freq: np.ndarray) -> list[
     words[lanes, used] = (low >> WORD).astype(np.int64)
     words[lanes, used + 1] = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     used += 2
+    words = words[:, : int(used.max())]
     while len((over := np.nonzero(words >> 32))[0]):
         words[over] &= 0xFFFFFFFF
         words[over[0], over[1] - 1] += 1
@@ -166,14 +171,14 @@ def _decode_lanes(words: np.ndarray, first: np.ndarray, length: int, symbols: np
     for t in range(length):
         g2, g1, p, bound = model.predict()
         unit = span >> np.uint64(SYMBOL_BITS + CLASS_BITS)
-        value = np.minimum(code // unit, np.uint64((1 << 30) - 1)).astype(np.int64)
-        p30, bound30, left = p.astype(np.int64) << SYMBOL_BITS, bound.astype(np.int64) << SYMBOL_BITS, 4096 - bound
-        hit2 = value < p30
-        hit1 = ~hit2 & (value < bound30)
-        rank = slot.take(np.maximum(value - bound30, 0) // left)
-        begin = np.where(hit2, 0, np.where(hit1, p30, bound30 + left * start.take(rank)))
-        width = np.where(hit2, p30, np.where(hit1, bound30 - p30, left * freq.take(rank)))
-        now = np.where(hit2, g2, np.where(hit1, g1, symbols.take(rank))).astype(np.int32)
+        value = np.minimum(code // unit, _LAST).astype(np.int32)
+        low, high, left = p << SYMBOL_BITS, bound << SYMBOL_BITS, 4096 - bound
+        hit2 = value < low
+        hit1 = value < high
+        rank = slot.take((value - high) // left, mode="clip")
+        begin = np.where(hit2, 0, np.where(hit1, low, high + left * start.take(rank)))
+        width = np.where(hit2, low, np.where(hit1, high - low, left * freq.take(rank)))
+        now = np.where(hit2, g2, np.where(hit1, g1, symbols.take(rank)))
         code -= unit * begin.astype(np.uint64)
         span = unit * width.astype(np.uint64)
         small = np.flatnonzero(span < (1 << 32))
@@ -209,7 +214,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     parts = [HEAD.pack(MAGIC, len(ids), block, len(symbols), n_blocks, len(table)), table]
     if not n_blocks:
         return b"".join(parts)
-    freq = freq.astype(np.int32)
+    freq, symbols32 = freq.astype(np.int32), symbols.astype(np.int32)
     start = (np.cumsum(freq) - freq).astype(np.int32)
     index, payload = [], []
     for k in range(0, n_blocks, LANES):
@@ -219,7 +224,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         if gap:
             some, rank = np.concatenate([some, np.full(gap, symbols[0], np.int32)]), np.concatenate([rank, np.zeros(gap, rank.dtype)])
         some, rank = some.reshape(-1, block), rank.reshape(-1, block)
-        for row, words in zip(some, _encode_lanes(some, start[rank], freq[rank])):
+        for row, words in zip(some, _encode_lanes(rank, symbols32, start, freq)):
             index.append(struct.pack("<II", len(words), zlib.crc32(row.astype("<u4").tobytes())))
             payload.append(words.tobytes())
     return b"".join(parts + index + payload)

@@ -45,7 +45,7 @@ class Options:
     #: Ids of a segment, at least (a document is never cut).
     segment: int = 8_000_000
     #: Characters tokenized at a time.
-    batch: int = 12_000_000
+    batch: int = 24_000_000
 
 
 def default_tokenizer() -> str:
@@ -86,22 +86,62 @@ def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start .. start + length - 1 of every pair, one after the other."""
     begin = np.cumsum(lengths) - lengths
-    return np.repeat(starts - begin, lengths) + np.arange(int(lengths.sum()))
-
-
-def tokenize(tokenizer, texts: pa.Array, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    total = int(lengths.sum())
+    kind = np.int32 if total + (int(starts.max()) if len(starts) else 0) < 1 << 31 else np.int64
+    return np.repeat((starts - begin).astype(kind), lengths) + np.arange(total, dtype=kind)
+
+
+class WordIds:
+    """Ids of words. The first ``most`` different words that a Python worker meets
+    are remembered: about half of the words of any later text are among them."""
+
+    def __init__(self, tokenizer, most: int = 300_000) -> None:
+        self.tokenizer, self.most = tokenizer, most
+        self.known: dict[str, int] = {}
+        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's ids begin, how many there are)."""
+        at = self.known.get
+        place = np.fromiter((at(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        fresh = [words[i] for i in new.tolist()]
+        flat, lengths = _encode_words(self.tokenizer, fresh)
+        every = np.concatenate([self.lengths, lengths])
+        place[new] = len(self.lengths) + np.arange(len(new))
+        both = np.concatenate([self.flat, flat])
+        starts = np.cumsum(every) - every
+        out = both, starts[place], every[place]
+        room = self.most - len(self.known)
+        if room > 0 and fresh:
+            self.known.update(zip(fresh[:room], range(len(self.lengths), len(self.lengths) + room)))
+            self.lengths = every[: len(self.lengths) + min(room, len(fresh))].copy()
+            self.flat = both[: int(self.lengths.sum())].copy()
+        return out
+
+
+#: By tokenizer file: lives as long as the Python worker.
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _words:
+        _words[path] = WordIds(_tokenizer(path))
+    return _words[path]
+
+
+def tokenize(words: WordIds, texts: pa.Array, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, number of ids of each text)."""
     if not by_word:
-        return _flat(tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
+        return _flat(words.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
     # The tokenizer lower-cases; only the strings of special tokens must keep their case.
     if not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pc.list_flatten(lists).dictionary_encode()
-    flat, lengths = _encode_words(tokenizer, words.dictionary.to_pylist())
-    index = words.indices.to_numpy()
-    starts = np.cumsum(lengths) - lengths
+    coded = pc.list_flatten(lists).dictionary_encode()
+    flat, starts, lengths = words.ids(coded.dictionary.to_pylist())
+    index = coded.indices.to_numpy()
     each = lengths[index]
     ids = flat[_spread(starts[index], each)]
     ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(per_text)))]
@@ -120,7 +160,7 @@ def _segments(options: Options):
     path = options.tokenizer or default_tokenizer()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        words = word_ids(path)
         base = TaskContext.get().partitionId() << 32
         docs, ids, lengths, held, sent = [], [], [], 0, 0
 
@@ -143,7 +183,7 @@ def _segments(options: Options):
                 if a == b:
                     continue
                 batch = whole.slice(a, b - a)
-                flat, per = _with_end(*tokenize(tokenizer, batch.column(1), options.by_word), options.end_id)
+                flat, per = _with_end(*tokenize(words, batch.column(1), options.by_word), options.end_id)
                 doc = batch.column(0).cast(pa.int64())
                 # Cut where a segment is full, at a document's end.
                 ends, begin, done = np.cumsum(per), 0, 0
