@@ -30,10 +30,10 @@ import numpy as np
 
 MAGIC = b"QMCX"
 HEAD = struct.Struct("<4sQIIII")
-BLOCK = 2048
-#: Blocks coded in step at a time; bounds the memory (about 25 KB a block).
-LANES = 4096
-SLOT_BITS = 11
+BLOCK = 1024
+#: Blocks coded in step at a time; bounds the memory (about 13 KB a block).
+LANES = 8192
+SLOT_BITS = 10
 SYMBOL_BITS, CLASS_BITS = 18, 12
 WORD = np.uint64(32)
 _LAST = np.uint64((1 << SYMBOL_BITS + CLASS_BITS) - 1)

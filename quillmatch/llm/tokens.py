@@ -45,7 +45,7 @@ class Options:
     #: Ids of a segment, at least (a document is never cut).
     segment: int = 8_000_000
     #: Characters tokenized at a time.
-    batch: int = 24_000_000
+    batch: int = 18_000_000
 
 
 def default_tokenizer() -> str:
@@ -85,39 +85,42 @@ def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start .. start + length - 1 of every pair, one after the other."""
-    begin = np.cumsum(lengths) - lengths
-    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
     kind = np.int32 if total + (int(starts.max()) if len(starts) else 0) < 1 << 31 else np.int64
-    return np.repeat((starts - begin).astype(kind), lengths) + np.arange(total, dtype=kind)
+    shift = starts.astype(kind)
+    shift -= (ends - lengths).astype(kind)
+    out = np.repeat(shift, lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class WordIds:
     """Ids of words. The first ``most`` different words that a Python worker meets
-    are remembered: about half of the words of any later text are among them."""
+    are remembered: more than half of the words of any later text are among them."""
 
-    def __init__(self, tokenizer, most: int = 300_000) -> None:
+    def __init__(self, tokenizer, most: int = 900_000) -> None:
         self.tokenizer, self.most = tokenizer, most
-        self.known: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.string())
+        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each word's ids begin, how many there are)."""
-        at = self.known.get
-        place = np.fromiter((at(w, -1) for w in words), np.int64, len(words))
+        words = words.cast(pa.string())
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
         new = np.flatnonzero(place < 0)
-        fresh = [words[i] for i in new.tolist()]
-        flat, lengths = _encode_words(self.tokenizer, fresh)
-        every = np.concatenate([self.lengths, lengths])
+        fresh = words.take(pa.array(new))
+        flat, lengths = _encode_words(self.tokenizer, fresh.to_pylist())
+        every = np.concatenate([self.lengths, lengths.astype(np.int32)])
         place[new] = len(self.lengths) + np.arange(len(new))
         both = np.concatenate([self.flat, flat])
-        starts = np.cumsum(every) - every
-        out = both, starts[place], every[place]
-        room = self.most - len(self.known)
-        if room > 0 and fresh:
-            self.known.update(zip(fresh[:room], range(len(self.lengths), len(self.lengths) + room)))
-            self.lengths = every[: len(self.lengths) + min(room, len(fresh))].copy()
+        starts = np.cumsum(every, dtype=np.int32) - every
+        room = min(self.most - len(self.known), len(new))
+        if room > 0:
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, room)])
+            self.lengths = every[: len(self.known)].copy()
             self.flat = both[: int(self.lengths.sum())].copy()
-        return out
+        return both, starts[place], every[place]
 
 
 #: By tokenizer file: lives as long as the Python worker.
@@ -140,7 +143,7 @@ def tokenize(words: WordIds, texts: pa.Array, by_word: bool = True) -> tuple[np.
     lists = pc.ascii_split_whitespace(texts)
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(lists).dictionary_encode()
-    flat, starts, lengths = words.ids(coded.dictionary.to_pylist())
+    flat, starts, lengths = words.ids(coded.dictionary)
     index = coded.indices.to_numpy()
     each = lengths[index]
     ids = flat[_spread(starts[index], each)]
@@ -166,7 +169,9 @@ def _segments(options: Options):
 
         def flush():
             nonlocal docs, ids, lengths, held, sent
-            payload = rangecoder.encode(np.concatenate(ids))
+            every, ids = np.concatenate(ids), []
+            payload = rangecoder.encode(every)
+            del every
             per = np.concatenate(lengths)
             row = pa.RecordBatch.from_arrays([
                 pa.array([base + sent], pa.int64()), pa.array([held], pa.int64()), pa.array([pa.concat_arrays(docs).to_pylist()], pa.list_(pa.int64())),
@@ -184,6 +189,7 @@ def _segments(options: Options):
                     continue
                 batch = whole.slice(a, b - a)
                 flat, per = _with_end(*tokenize(words, batch.column(1), options.by_word), options.end_id)
+                pa.default_memory_pool().release_unused()  # a worker lives on and would keep it
                 doc = batch.column(0).cast(pa.int64())
                 # Cut where a segment is full, at a document's end.
                 ends, begin, done = np.cumsum(per), 0, 0
