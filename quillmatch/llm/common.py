@@ -13,8 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
-SPACE_CLASS = r"[ \x09-\x0D]"
 #: Folders of this process, removed at its end.
 _own: set[str] = set()
 
