@@ -31,7 +31,9 @@ def iterations(count: int, mode: str) -> int:
 def gram_rows(features: DataFrame, n: int = DEFAULT_NGRAMS) -> DataFrame:
     """filepath, collection_id, n_grams (distinct) and one gram hash a row."""
     sized = features.select("filepath", "collection_id", hashed_ngrams("tokens", n, unique=True).alias("grams"))
-    return sized.select("filepath", "collection_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    # An outer explode: for an inner one the optimizer would infer a filter on the
+    # array and compute it twice.
+    return sized.select("filepath", "collection_id", F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram")).where("gram is not null")
 
 
 def prefix_rows(grams: DataFrame, least: float) -> DataFrame:

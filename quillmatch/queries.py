@@ -97,7 +97,7 @@ def doc_vs_benchmark_containment(spark, sf_dir):
 def _counts(spark, sf_dir, name: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     rows = extract.text_features(docs, "doc_id", "text")
-    return rows.select(F.col("filepath").cast("bigint").alias("doc_id"), F.explode(name).alias("item", "n")).select("doc_id", "item", F.col("n").cast("bigint").alias("n"))
+    return rows.select(F.col("filepath").cast("bigint").alias("doc_id"), F.explode_outer(name).alias("item", "n")).where("item is not null").select("doc_id", "item", F.col("n").cast("bigint").alias("n"))
 
 
 def doc_counter_marks(spark, sf_dir):
