@@ -432,6 +432,29 @@ def test_quotes(spark):
     assert order == [0, 1, 3, 2, 4]
 
 
+def test_quotes_of_parts(spark):
+    """Some lines or paragraphs, parts of sentences, short and unspaced passages."""
+    text = "The first line of this message stands here.\nSecond comes a line about ships and harbours, all of it.\nAt last a third line closes."
+    rows = [
+        (1, 0, "user", text), (1, 1, "user", "Quite other words\nyes\n今日は天気がいいです"),
+        (1, 2, "user", "> The first line of this message stands here.\n> At last a third line closes.\nA"),  # two of three lines
+        (1, 3, "user", "> about ships and harbours\nB"),  # part of a sentence
+        (1, 4, "user", "> The first line of this message stands here.\n> Second comes a line about ships and harbours, all of it.\nC"),
+        (1, 5, "user", "> yes\nD"), (1, 6, "user", "> 天気\nE"), (1, 7, "user", "> harbours about ships and\nF"), (1, 8, "user", "> :-)\nG"),
+        (2, 0, "user", "para one is here\nit has two lines\n\npara two is there\n\nthe third para ends"),
+        (2, 1, "user", "> para one is here\n> it has two lines\n>\n> the third para ends\nH\nI goes on\n> para two is there\nJ"),
+        (2, 2, "user", "> I goes on\n> J\nK"),  # an interleaved reply with several lines
+        (3, 0, "user", "> yes\n> D\nL"), (3, 1, "user", "> At last a third line closes.\n> and words of nobody\nM"),
+    ]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out, links = quotes.link(talk)
+    parent = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in out.collect()}
+    assert [parent[1, k] for k in range(9)] == [None, None, 0, 0, 0, 1, 1, None, None]
+    assert [parent[2, k] for k in range(3)] == [None, 0, 1]
+    origin = {(r["conv_id"], r["turn"]): (r["origin_conv"], r["origin_turn"]) for r in links.where("conv_id = 3").collect()}
+    assert origin == {(3, 0): (None, None), (3, 1): (1, 0)}
+
+
 def test_quote_levels():
     own, passages = quotes.parse("> a\n>> b\n> > c\nown\n> d")
     assert own == "own" and passages == [(1, "a"), (2, "b\nc"), (1, "d")]
