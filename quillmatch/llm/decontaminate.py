@@ -10,12 +10,15 @@ compared again (so no hash collision counts), and the slots of all windows of
 one alignment (document, item, offset) are collected: within an alignment each
 slot value of the item must always stand for the same value in the document.
 A re-parameterised question passes this; chance matches of placeholders do not.
-Windows need at least ``min_plain`` words that are no placeholders.
+Windows need at least ``min_plain`` words that are no placeholders. Words that
+are units and ordinary words as well (``AMBIGUOUS``) are units after a number only.
 
 An item counts as leaked into a document when the consistent alignments cover
 at least ``coverage`` of the item's windows. Items shorter than the window are
-one window of all their words (at least ``min_words`` words, else they are
-ignored: they say too little).
+one window of all their words. Items without any window (under ``min_words``
+words, or all windows short of plain words) leak where all their words stand in
+a row with their own values; signs that stand alone count as words there, as
+the signs of a formula do.
 
 The benchmark's window hashes are the stated query set. They are met with all
 documents in blocks of ``block`` hashes: a row keeps only the windows that are
@@ -45,7 +48,12 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years "
     "percent dollar dollars cent cents euro euros usd eur"
 ).split()
+#: Units that are ordinary words (or letters) too.
+AMBIGUOUS = "in m g t l s h min mi second".split()
 NUMBER = r"^[+-]?[0-9][0-9.,]*(%|st|nd|rd|th)?$"
+SPACE = r"[ \x09-\x0D]+"
+WORDLIKE = r"[\p{L}\p{N}]"
+AROUND = r"^[^\p{L}\p{N}+\-]+|[^\p{L}\p{N}%]+$"
 
 
 @dataclass(frozen=True)
@@ -61,8 +69,14 @@ class Options:
 
 def _bare(df: DataFrame) -> DataFrame:
     """Adds raw (words with a letter or digit) and bare (without surrounding punctuation)."""
-    df = df.withColumn("raw", F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))).drop("text")
-    return df.withColumn("bare", F.transform("raw", lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}+\-]+|[^\p{L}\p{N}%]+$", "")))
+    df = df.withColumn("raw", F.filter(F.split("text", SPACE), lambda w: w.rlike(WORDLIKE))).drop("text")
+    return df.withColumn("bare", F.transform("raw", lambda w: F.regexp_replace(w, AROUND, "")))
+
+
+def _literal(df: DataFrame) -> DataFrame:
+    """Adds literal (words without case and surrounding punctuation, and signs that stand alone)."""
+    every = F.filter(F.split("text", SPACE), lambda w: w != "")
+    return df.withColumn("literal", F.transform(every, lambda w: F.when(w.rlike(WORDLIKE), F.lower(F.regexp_replace(w, AROUND, ""))).otherwise(w))).drop("text")
 
 
 def _inside(i: Column) -> Column:
@@ -78,16 +92,17 @@ def _tokens(df: DataFrame, names: list[str]) -> DataFrame:
     """Adds plain (words without case and surrounding punctuation) and shape (templates)."""
     return _bare(df).withColumns({
         "plain": F.transform("bare", F.lower),
-        "shape": F.transform("bare", lambda w, i: _template(w, _inside(i), names)),
+        "shape": F.transform("bare", lambda w, i: _template(w, _inside(i), F.get("bare", i - 1), names)),
     }).drop("raw", "bare")
 
 
-def _template(word: Column, inside: Column, names: list[str]) -> Column:
+def _template(word: Column, inside: Column, before: Column, names: list[str]) -> Column:
     low = F.lower(word)
+    unit = low.isin(UNITS) & (~low.isin(AMBIGUOUS) | before.rlike(NUMBER))
     name = inside & _capital(word)
     return (
         F.when(word.rlike(NUMBER), "<num>")
-        .when(low.isin(UNITS), "<unit>")
+        .when(unit, "<unit>")
         .when(name | low.isin(names) if names else name, "<name>")
         .otherwise(low)
     )
@@ -128,10 +143,39 @@ def benchmark_windows(benchmark: DataFrame, names: list[str], options: Options =
     return rows.join(totals, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
 
-def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> DataFrame:
-    """doc_id, h, size, doc_at, doc_shape and doc_plain of the documents' windows
-    whose hash is wanted for their size: one scan for all sizes."""
-    df = _tokens(common.texts(docs), names).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
+def _whole_items(benchmark: DataFrame, windows: DataFrame, options: Options) -> DataFrame:
+    """hash and size (of the first words, a window's at most), item_id and literal of the items without a window."""
+    met = windows.select(F.col("item_id").alias("_item")).distinct()
+    items = _literal(_items(benchmark)).join(met, F.col("item_id").eqNullSafe(F.col("_item")), "left_anti")
+    items = items.where(F.exists("literal", lambda w: w.rlike(WORDLIKE))).withColumn("size", F.least(F.lit(options.window), F.size("literal")))
+    hashed = F.lit(None).cast("long")
+    for n in range(1, options.window + 1):
+        hashed = F.when(F.col("size") == n, F.xxhash64(*[F.xxhash64(F.get("literal", F.lit(k))) for k in range(n)])).otherwise(hashed)
+    return items.withColumn("hash", hashed)
+
+
+def _whole_leaks(docs: DataFrame, items: DataFrame, options: Options) -> DataFrame | None:
+    """doc_id and item_id where a document holds all words of an item without a window."""
+    pairs = sorted({(r["size"], r["hash"]) for r in items.select("size", "hash").distinct().collect()})
+    if not pairs:
+        return None
+    longest = items.agg(F.max(F.size("literal"))).first()[0]
+    side = F.broadcast(items) if len(pairs) <= options.broadcast_windows else items
+    found = None
+    for k in range(0, len(pairs), options.block):
+        wanted: dict[int, list[int]] = {}
+        for size, value in pairs[k : k + options.block]:
+            wanted.setdefault(size, []).append(value)
+        df = _literal(common.texts(docs)).withColumn("wh", F.transform("literal", lambda w: F.xxhash64(w)))
+        df = _met(df, wanted).select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.slice("literal", F.col("met.i") + 1, longest).alias("here"))
+        met = df.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.slice("here", F.lit(1), F.size("literal")) == F.col("literal"))).select("doc_id", "item_id")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
+
+
+def _met(df: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
+    """Drops wh, the words' hashes, and adds met: h, i and n of each window whose
+    hash is wanted for its size, a row each."""
 
     def met_of(size: int, hashes: list[int]) -> Column:
         marked = F.transform(_window_hashes("wh", size), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.lit(size).alias("n")))
@@ -141,7 +185,14 @@ def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> Da
     # A condition that isn't deterministic keeps the filter below from being
     # pushed down, which would copy the whole chain of expressions into it.
     df = df.withColumn("met", F.when(F.monotonically_increasing_id() >= 0, F.concat(*found)))
-    df = df.drop("wh").where(F.size("met") > 0).withColumn("met", F.explode("met"))
+    return df.drop("wh").where(F.size("met") > 0).withColumn("met", F.explode("met"))
+
+
+def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> DataFrame:
+    """doc_id, h, size, doc_at, doc_shape and doc_plain of the documents' windows
+    whose hash is wanted for their size: one scan for all sizes."""
+    df = _tokens(common.texts(docs), names).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
+    df = _met(df, wanted)
     cut = lambda c: F.slice(c, F.col("met.i") + 1, F.col("met.n"))
     return df.select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.col("met.i").alias("doc_at"), cut("shape").alias("doc_shape"), cut("plain").alias("doc_plain"))
 
@@ -152,6 +203,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
     names = benchmark_names(benchmark)
     windows = common.materialize(benchmark_windows(benchmark, names, options), "benchmark")
     # The benchmark is the query set; its hashes go to the scan in blocks.
+    whole = _whole_leaks(docs, common.materialize(_whole_items(benchmark, windows, options), "benchmark-whole"), options)
+    one = F.lit(1).cast("long")
+    whole = whole.withColumns({"n_windows": one, "item_windows": one, "n_exact": one}) if whole is not None else None
     pairs = sorted({(r["size"], r["hash"]) for r in windows.select("size", "hash").distinct().collect()})
     side = F.broadcast(windows) if len(pairs) <= options.broadcast_windows else windows
     found = None
@@ -167,6 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
         )
         found = met if found is None else found.unionByName(met)
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    if found is None and whole is not None:
+        return whole
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item}, n_windows long, item_windows long, n_exact long")
     found = common.materialize(found, "template-hits")
@@ -176,7 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
     good = found.alias("f").join(mixed.alias("m"), F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("f.item_id").eqNullSafe(F.col("m.item_id")) & (F.col("f.offset") == F.col("m.offset")), "left_anti")
     each = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("item_windows"), F.max(F.col("exact").cast("long")).alias("exact"))
     out = each.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.sum("exact").alias("n_exact"))
-    return out.where(F.col("n_windows") >= options.coverage * F.col("item_windows"))
+    out = out.where(F.col("n_windows") >= options.coverage * F.col("item_windows"))
+    return out if whole is None else out.unionByName(whole)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -> DataFrame:

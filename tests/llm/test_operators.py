@@ -189,6 +189,24 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, small).collect()} == found
 
 
+def test_decontamination_of_short_items(spark):
+    """Items without a window are met by all their words; 'in' is a unit after a number only."""
+    bench = spark.createDataFrame([
+        (0, "Add 15 m and 20 m and 35 m"), (1, "12 x 7 + 5 ="), (2, "Who wrote Faust?"), (3, " ".join(str(k * k) for k in range(30))), (4, None), (5, "?"),
+        (6, "Stand in line in front in town"), (7, "12 in or 13 in or 14 in"),
+    ], "item_id bigint, text string")
+    rows = [
+        (1, "Now add 15 m and 20 m and 35 m."), (2, "add 15 m and 20 m and 36 m"), (3, "so 12 x 7 + 5 = 89"), (4, "so 12 x 7 - 5 = 79"), (5, "(who wrote faust)"), (6, "who wrote it"),
+        (7, "a " + " ".join(str(k * k) for k in range(31))), (8, " ".join(str(k * k) for k in range(29))), (9, "they stand in line in front in town"), (10, None), (11, ""), (12, "12 in or 13 in or 14 in"), (13, "stand cm line cm front cm town"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + rows[:1]], SCHEMA)
+    expected = [(1, 0), (3, 1), (5, 2), (7, 3), (9, 6), (12, 7)]
+    for options in (decontaminate.Options(), decontaminate.Options(block=1)):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, options).collect()) == expected
+    few = bench.where("item_id in (1, 2)")  # no item with a window
+    assert {r["doc_id"] for r in decontaminate.clean(docs, few).collect()} == {1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13}
+
+
 # 2: mixing
 
 
