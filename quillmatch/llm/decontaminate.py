@@ -14,7 +14,9 @@ Windows need at least ``min_plain`` words that are no placeholders. Words that
 are units and ordinary words as well (``AMBIGUOUS``) are units after a number only.
 
 An item counts as leaked into a document when the consistent alignments cover
-at least ``coverage`` of the item's windows. Items shorter than the window are
+at least ``coverage`` of the item's windows, or when windows met word for word
+follow one another without a gap over ``run`` words in one of these alignments,
+whatever share of the item that is. Items shorter than the window are
 one window of all their words. Items without any window (under ``min_words``
 words, or all windows short of plain words) leak where all their words stand in
 a row with their own values; signs that stand alone count as words there, as
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -62,6 +64,8 @@ class Options:
     min_words: int = 5
     min_plain: int = 4
     coverage: float = 0.5
+    #: Words of a verbatim excerpt that leaks by itself.
+    run: int = 13
     block: int = 50_000
     #: Benchmarks with more windows are joined by a shuffle instead of a broadcast.
     broadcast_windows: int = 200_000
@@ -197,6 +201,16 @@ def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> Da
     return df.select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.col("met.i").alias("doc_at"), cut("shape").alias("doc_shape"), cut("plain").alias("doc_plain"))
 
 
+def _verbatim_runs(met: DataFrame) -> DataFrame:
+    """doc_id, item_id and run, the words under windows met word for word that
+    overlap or touch in one alignment."""
+    line = Window.partitionBy("doc_id", "item_id", "offset").orderBy("at")
+    rows = met.where("exact").select("doc_id", "item_id", "offset", "at", "size").distinct()
+    rows = rows.withColumn("new", F.coalesce((F.col("at") > F.lag(F.col("at") + F.col("size")).over(line)).cast("long"), F.lit(0)))
+    rows = rows.withColumn("island", F.sum("new").over(line))
+    return rows.groupBy("doc_id", "item_id", "offset", "island").agg((F.max(F.col("at") + F.col("size")) - F.min("at")).alias("run"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, item_id, n_windows (met), item_windows, n_exact (windows met word
     for word) of every leaked item."""
@@ -216,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
         hits = _hits(docs, wanted, names)
         met = hits.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_shape") == F.col("shape")))
         met = met.select(
-            "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"),
+            "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"), "size",
             F.filter(F.zip_with(F.arrays_zip("shape", "plain"), "doc_plain", lambda a, b: F.struct(a["shape"].alias("shape"), a["plain"].alias("item"), b.alias("doc"))), lambda x: x["shape"].startswith("<")).alias("slots"),
         )
         found = met if found is None else found.unionByName(met)
@@ -230,9 +244,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
     slots = found.select(*key, F.explode("slots").alias("x")).groupBy(*key, "x.shape", "x.item").agg(F.min("x.doc").alias("a"), F.max("x.doc").alias("b"))
     mixed = slots.where(F.col("a") != F.col("b")).select(*key).distinct().withColumns({"bad": F.lit(True)})
     good = found.alias("f").join(mixed.alias("m"), F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("f.item_id").eqNullSafe(F.col("m.item_id")) & (F.col("f.offset") == F.col("m.offset")), "left_anti")
+    runs = _verbatim_runs(good).where(F.col("run") >= options.run).select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).distinct().withColumn("verbatim", F.lit(True))
     each = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("item_windows"), F.max(F.col("exact").cast("long")).alias("exact"))
     out = each.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.sum("exact").alias("n_exact"))
-    out = out.where(F.col("n_windows") >= options.coverage * F.col("item_windows"))
+    out = out.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left")
+    out = out.where((F.col("n_windows") >= options.coverage * F.col("item_windows")) | F.col("verbatim")).drop("_doc", "_item", "verbatim")
     return out if whole is None else out.unionByName(whole)
 
 

@@ -207,6 +207,18 @@ def test_decontamination_of_short_items(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, few).collect()} == {1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13}
 
 
+def test_decontamination_of_excerpts(spark):
+    """Thirteen words in a row leak, however long the item; twelve, or runs with a gap, don't."""
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    cut = lambda a, b: " ".join(item[a:b])
+    gap = item[10:19] + ["other"] + item[20:29]
+    rows = [(1, "x y " + cut(40, 72) + " z"), (2, cut(87, 100)), (3, cut(5, 17)), (4, " ".join(gap)), (5, cut(0, 10) + " x " + cut(50, 60)), (6, cut(0, 100)), (7, cut(30, 43).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + rows[:1]], SCHEMA)
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    found = {r["doc_id"]: (r["n_windows"], r["item_windows"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {1: (25, 93), 2: (6, 93), 6: (93, 93), 7: (6, 93)}
+
+
 # 2: mixing
 
 
