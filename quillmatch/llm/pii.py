@@ -5,7 +5,10 @@ field then labels tokens (runs without white space that hold a digit or an at
 sign; all others are no entity for certain and cut the chain). Its potentials
 are shape features of a token, transitions between neighbouring tokens, and skip
 potentials between tokens of one document that are the same or similar (equal
-digits, or equal local parts), however far apart. Loopy belief propagation runs
+digits, digits that end another's, or equal local parts), however far apart. The
+tokens under one base span are one node, and so are neighbouring number tokens
+whose digits together end those of a base span (``min_suffix`` at least, leading
+zeros left out): a number counts as a whole, however it is spelled. Loopy belief propagation runs
 over all documents of a batch at once; tokens under base spans are observed. A
 token outside the base spans becomes a span when its belief for a kind reaches
 ``belief`` and skip edges tie it to a base span of that kind in its document: so
@@ -58,7 +61,8 @@ class Options:
     #: Documents the weights are fitted on (bounded sample; smallest hashes first).
     sample: int = 400
     min_digits: int = 5
-    min_local: int = 4
+    #: Digits by which a number without its first ones is known again.
+    min_suffix: int = 7
 
 
 def luhn(digits: str) -> bool:
@@ -116,7 +120,7 @@ def skip_key(token: str, options: Options) -> str:
     """What makes tokens the same or similar; empty: the token has no skip edges."""
     if "@" in token:
         local = re.sub(r"[^a-z0-9]", "", token.split("@")[0].lower())
-        return "@" + local if len(local) >= options.min_local else ""
+        return "@" + local if local else ""
     digits = "".join(_DIGITS.findall(token))
     return digits.lstrip("0") if len(digits) >= options.min_digits else ""
 
@@ -140,29 +144,71 @@ SHAPES = 29
 N_FEATURES = SHAPES + len(LABELS) + 1
 
 
-def nodes(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
-    """(start, end, label) of each token; the label is that of the base span it overlaps."""
-    out, k = [], 0
-    for start, end in tokens(text):
-        while k < len(base) and base[k][1] <= start:
-            k += 1
-        label = next((LABELS.index(s[2]) for s in base[k:] if s[0] < end and s[1] > start), 0) if k < len(base) and base[k][0] < end else 0
-        out.append((start, end, label))
-    return out
+def _number(text: str) -> str:
+    return "".join(_DIGITS.findall(text)).lstrip("0")
+
+
+def _suffixes(number: str, options: Options) -> Iterator[str]:
+    return (number[-k:] for k in range(options.min_suffix, min(len(number), 19) + 1))
 
 
-def edges(text: str, found: list[tuple[int, int, int]], options: Options) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _run_end(text: str, found: list[tuple[int, int]], at: int, ends: set[str]) -> int:
+    """The last of the number tokens from ``at`` on that together are one of
+    ``ends``; ``at`` if there are none."""
+    number, best = "", at
+    for j in range(at, len(found)):
+        a, b = found[j]
+        token = text[a:b]
+        if (j > at and a - found[j - 1][1] != 1) or "@" in token or any(c.isalpha() for c in token):
+            break
+        number += "".join(_DIGITS.findall(token))
+        if len(number.lstrip("0")) > 19:
+            break
+        if j > at and number.lstrip("0") in ends:
+            best = j
+    return best
+
+
+def nodes(text: str, base: list[Span], options: Options = Options(), runs: bool = True) -> list[tuple[int, int, int, list[str]]]:
+    """(start, end, label, keys) of each node: the tokens under one base span, a run
+    of number tokens that repeats the end of a base span's digits (if ``runs``), or
+    a token. The label is that of the base span it overlaps; nodes that share a key
+    are the same or similar."""
+    found, under, k = tokens(text), [], 0
+    for start, end in found:
+        while k < len(base) and base[k][1] <= start:
+            k += 1
+        under.append(next((i for i in range(k, len(base)) if base[i][0] < end and base[i][1] > start), -1) if k < len(base) and base[k][0] < end else -1)
+    numbers = {i: _number(text[base[i][0] : base[i][1]]) for i in set(under) if i >= 0 and base[i][2] != "email"}
+    ends = {x for number in numbers.values() for x in _suffixes(number, options)} if runs else set()
+    made, i = [], 0
+    while i < len(found):
+        j = i
+        if under[i] >= 0:
+            while j + 1 < len(found) and under[j + 1] == under[i]:
+                j += 1
+        elif ends:
+            j = _run_end(text, found, i, ends)
+            if -1 != max(under[i : j + 1]):
+                j = i
+        start, end = found[i][0], found[j][1]
+        keys = {skip_key(text[a:b], options) for a, b in found[i : j + 1]} - {""} if under[i] >= 0 or i == j else set()
+        number = numbers.get(under[i], "") if under[i] >= 0 else "" if "@" in text[start:end] else _number(text[start:end])
+        made.append((start, end, LABELS.index(base[under[i]][2]) if under[i] >= 0 else 0, keys, number))
+        i = j + 1
+    whole = {number for *_, number in made if len(number) >= options.min_suffix}
+    return [(a, b, label, sorted(keys | {x for x in _suffixes(number, options) if x in whole} | ({number} & whole))) for a, b, label, keys, number in made]
+
+
+def edges(found: list[tuple[int, int, int, list[str]]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges (neighbours with one white space between) and skip edges (each
-    token to the one before it with its key)."""
+    node to the one before it with a key of its own)."""
     chain = [(i - 1, i) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] == 1]
     last: dict[str, int] = {}
     skip = []
-    for i, (a, b, _) in enumerate(found):
-        key = skip_key(text[a:b], options)
-        if key:
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+    for i, (_, _, _, keys) in enumerate(found):
+        skip += [(j, i) for j in sorted({last[key] for key in keys if key in last})]
+        last.update(dict.fromkeys(keys, i))
     return chain, skip
 
 
@@ -178,14 +224,14 @@ def train(texts: list[str], options: Options = Options(), steps: int = 300) -> F
     size = len(LABELS)
     x_rows, y, left, right, others = [], [], [], [], []
     for text in texts:
-        found = nodes(text, base_spans(text))
-        chain, skip = edges(text, found, options)
+        found = nodes(text, base_spans(text), options, runs=False)
+        chain, skip = edges(found)
         before, after = dict((j, i) for i, j in chain), dict(chain)
         linked: dict[int, list[int]] = {}
         for i, j in skip:
             linked.setdefault(i, []).append(j)
             linked.setdefault(j, []).append(i)
-        for i, (a, b, label) in enumerate(found):
+        for i, (a, b, label, _) in enumerate(found):
             rule = SHAPES + (len(LABELS) if label and (a + i) % 2 else label)
             x_rows.append([*features(text[a:b]), rule])
             y.append(label)
@@ -257,26 +303,25 @@ def consistent_spans(field: Field, docs: list[tuple[str, list[Span]]], options:
     for d, (text, base) in enumerate(docs):
         if not base:
             continue
-        found = nodes(text, base)
-        keys = [skip_key(text[a:b], options) for a, b, _ in found]
+        found = nodes(text, base, options)
         kinds: dict[str, set[int]] = {}
-        for key, (_, _, label) in zip(keys, found):
-            if key:
+        for _, _, label, keys in found:
+            for key in keys:
                 kinds.setdefault(key, set()).add(label)
         # Without a token that shares a key with a base span nothing can be added.
         if not any(0 in s and len(s) > 1 for s in kinds.values()):
             continue
-        links, far = edges(text, found, options)
+        links, far = edges(found)
         first = len(scores)
         chain += [(i + first, j + first) for i, j in links]
         skip += [(i + first, j + first) for i, j in far]
-        for key, (a, b, label) in zip(keys, found):
+        for a, b, label, keys in found:
             row = field.unary[[*features(text[a:b]), SHAPES + (label or len(LABELS))]].sum(axis=0)
             if label:  # observed
                 row = np.where(np.arange(len(LABELS)) == label, 0.0, -50.0)
             scores.append(row)
             where.append((d, a, b, label))
-            group.append(kinds.get(key, set()))
+            group.append(set().union(*(kinds[key] for key in keys)))
     if not scores:
         return added
     p = beliefs(field, np.array(scores), np.array(chain, np.int64), np.array(skip, np.int64), options)

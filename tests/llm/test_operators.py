@@ -361,6 +361,23 @@ def test_skip_chain_makes_labels_consistent():
     assert pii.consistent_spans(field, [("seat 12 of 2020, number 493", [])]) == [[]]
 
 
+def test_skip_chain_ties_whole_numbers():
+    """A number that is spelled in other pieces, or without its first digits, and short local parts."""
+    corpus = [f"Call +1 ({k % 900 + 100:03d}) 555-{k * 37 % 10000:04d} or write mail{k}@host.org, seat {k}, year 2020. The number 49{k} is free." for k in range(200)]
+    field = pii.train(corpus)
+
+    def added(text):
+        return [(text[a:b], kind) for a, b, kind in pii.consistent_spans(field, [(text, pii.base_spans(text))])[0]]
+
+    start = "Call +1 (017) 555-7713 today. "
+    for again in ("017-555-7713", "017 555 7713", "0175557713", "1 017 555 7713", "555-7713"):
+        assert added(start + f"Once more: {again}, please.") == [(again, "phone")]
+        assert added(f"Once more: {again}, please. " + start) == [(again, "phone")]
+    for other in ("017 555 7714", "7713", "12 555 20", "018-555-7713"):
+        assert added(start + f"Once more: {other}, please.") == []
+    assert added("Ask jo@host.org, seat 7, later jo@host again") == [("jo@host", "email")]
+
+
 # 6: secrets
 
 SECRET_TEXTS = [
