@@ -22,7 +22,8 @@ all it has if that is less.
 
 Defined cases: null text counts as empty (0 tokens; posteriors from the priors).
 Labels with a null in any column are not used; without usable labels every
-document is clean and all rates are 1. Repeated rows get the same rate. An
+document is clean and all rates are 1. Very long texts are read whole. Repeated
+rows get the same rate. An
 empty table gives an empty result. ``apply`` passes all columns through.
 """
 
@@ -52,8 +53,6 @@ class Options:
     ratio: dict = field(default_factory=lambda: {"clean": 1.0, "low": 0.05, "toxic": 0.02, "low_toxic": 0.005})
     iterations: int = 60
     tolerance: float = 1e-6
-    #: Rates this close to 1 are taken as 1 when documents are drawn.
-    snap: float = 0.06
     seed: int = 42
 
 
@@ -78,7 +77,7 @@ def _features(df: DataFrame) -> DataFrame:
     df = df.withColumn("marks", F.regexp_replace("bare", "[A-Z\\x80-\\x{10FFFF}]+", ""))
     df = df.withColumn("odd", F.regexp_replace("marks", "[.,;:'\"?()0-9-]+", ""))
     chars = F.greatest(F.length("text"), F.lit(1))
-    share = lambda c: F.least(F.lit(7), F.floor(F.log2(1 + 1000 * F.length(c) / chars) * 0.8)).cast("int")
+    share = lambda c: F.least(F.lit(7), F.floor(F.log2(1 + 1000.0 * F.length(c) / chars) * 0.8)).cast("int")
     return df.withColumns({
         "bag": F.split(F.lower("text"), "[ \\x09-\\x0D.,;:!?|&%$#*<>()\"]+"),
         "shares": F.array(share("bare"), share("marks"), share("odd")),
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Mod
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, th (a hash of the text), n_tokens and k: the posteriors of all
-    domains but the first in steps of 0.01, rounded down."""
+    domains but the first in steps of 0.01."""
     df = _features(common.texts(docs))
     lexicon = sorted({*model.low.words, *model.toxic.words})
     df = df.select(
@@ -152,7 +151,9 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
 
     df = df.withColumns({"low": chance(model.low), "toxic": chance(model.toxic)})
     low, toxic = F.col("low"), F.col("toxic")
-    k = [F.floor(STEPS * x).cast("int") for x in (low * (1 - toxic), (1 - low) * toxic, low * toxic)]
+    # Steps of the running sum: what one domain loses by rounding the next one gains.
+    upto = [F.round(STEPS * x).cast("int") for x in (low * (1 - toxic), low * (1 - toxic) + (1 - low) * toxic, low + toxic - low * toxic)]
+    k = [upto[0], upto[1] - upto[0], upto[2] - upto[1]]
     return df.select("doc_id", "th", "n_tokens", F.array(*k).alias("k"))
 
 
@@ -203,14 +204,14 @@ def rates(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> D
     """doc_id, th, n_tokens, the posteriors p_<domain>, rate and copies.
 
     copies is the rate rounded down or up by a hash of the row, so that its
-    expectation is the rate (rates within ``snap`` of 1 count as 1)."""
+    expectation is the rate."""
     members = common.materialize(posteriors(docs, fit(docs, labels, options)), "members")
     cells, _, _ = fit_rates(members, None, options)
     # At most 176,851 cells (three numbers that sum to 100 or less): a bound that holds for any input.
     out = members.join(F.broadcast(cells), "k")
     q = _q()
     draw = F.pmod(F.xxhash64("doc_id", "th", F.lit(options.seed)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.when(F.abs(F.col("rate") - 1) <= options.snap, 1).otherwise(F.floor(F.col("rate") + draw)).cast("long")
+    copies = F.floor(F.col("rate") + draw).cast("long")
     return out.select("doc_id", "th", "n_tokens", *[q[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))
 
 

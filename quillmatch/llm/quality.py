@@ -13,7 +13,7 @@ unless the base rules reject it).
 Defined cases: null text counts as empty (0 words: base rules reject it). A
 null or unknown language has no list of common words, so only its character
 classes are compared, against the reference of documents with that same
-language value. A repeated row is judged as often as it occurs. An empty table
+language value. Very long texts are read whole: all products are 64-bit. A repeated row is judged as often as it occurs. An empty table
 gives an empty result. Columns other than doc_id, text and lang are not read by
 ``profile`` and are passed through unchanged by ``keep``.
 """
@@ -103,7 +103,7 @@ def _stages(df: DataFrame) -> DataFrame:
         "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.when(F.col("n_all") > 0, F.transform(F.array(*counts), lambda c: F.floor(c * UNIT / F.col("n_all")))).alias("classes"),
-        F.when(F.col("n_words") > 0, F.transform(F.transform("bins", lambda w: F.size(F.filter("listed", lambda x: x == w))), lambda c: F.floor(c * UNIT / F.col("n_words")))).alias("listed"),
+        F.when(F.col("n_words") > 0, F.transform(F.transform("bins", lambda w: F.size(F.filter("listed", lambda x: x == w)).cast("long")), lambda c: F.floor(c * UNIT / F.col("n_words")))).alias("listed"),
     )
 
 
