@@ -8,20 +8,24 @@ Old shards are never changed: the new manifest names the merged files instead.
 
 A manifest becomes visible by one rename that fails if the version exists, so
 two writers can't both commit a version, and a job that dies leaves the last
-version as it was. Readers see exactly the files of one version. ``vacuum``
-deletes files that the last versions don't name.
+version as it was. A writer that loses the race applies its change to the
+version that won. Readers see exactly the files of one version. ``vacuum``
+deletes files that the last versions don't name and that are older than
+``min_age_s``, so that it leaves arrivals alone which are being written.
 
 Only manifests (a line per shard) are held by the driver.
 
-Defined cases: rows are kept as they are, with nulls, repeated rows and all
-columns. Appending an empty table commits a version without new shards; reading
-an empty store needs the schema that was given. Shards of equal size keep their
-order of arrival.
+Defined cases: rows are kept as they are, with nulls, repeated rows, empty and
+very long texts and all columns, whatever they are called: ``placed`` gives its
+number a free name. Appending an empty table commits a version without new
+shards; reading an empty store needs the schema that was given. Shards of equal
+size keep their order of arrival.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import defaultdict
 from contextlib import contextmanager
@@ -43,6 +47,10 @@ class Options:
     arrival_rows: int = 2000
     #: Merges that are planned into one Spark job.
     merges_per_job: int = 64
+    #: Times that a change is applied anew after another writer's commit.
+    retries: int = 20
+    #: Manifests with more shards are joined by a shuffle instead of a broadcast.
+    broadcast_shards: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -141,8 +149,18 @@ class Store:
         """Write arrivals as small shards and commit them."""
         folder = f"{self._root}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", options.arrival_rows).parquet(folder)
-        base, shards = self.manifest()
-        return self.commit(base, shards + self._listed(folder))
+        new = self._listed(folder)
+        return self._change(lambda shards: shards + new, options)
+
+    def _change(self, change, options: Options) -> int:
+        """Commit ``change`` of the last version's shards, again if another writer came first."""
+        for _ in range(options.retries):
+            base, shards = self.manifest()
+            try:
+                return self.commit(base, change(shards))
+            except Conflict:
+                continue
+        raise Conflict(f"{options.retries} commits of other writers came first")
 
     def _frame(self, shards: list[Shard]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[s.path for s in shards])
@@ -162,9 +180,8 @@ class Store:
     def compact(self, options: Options = Options()) -> int:
         """Merge until no tier is due; one commit. Returns the version."""
         base, shards = self.manifest()
-        changed = False
+        gone: dict[Shard, Shard | None] = {}  # what stands for a merged shard
         while merges := plan(shards, options):
-            changed = True
             for k in range(0, len(merges), options.merges_per_job):
                 some = merges[k : k + options.merges_per_job]
                 out = None
@@ -178,20 +195,32 @@ class Store:
                 if len(made) != len(some):
                     raise RuntimeError("a merge did not write one file")
                 for group, new in zip(some, made):
-                    gone = set(group)
-                    at = shards.index(group[0])
-                    shards = [s for s in shards[:at] if s not in gone] + [new] + [s for s in shards[at:] if s not in gone]
-        return self.commit(base, shards) if changed else base
+                    gone |= dict.fromkeys(group) | {group[0]: new}
+            shards = _replaced(shards, gone)
+        if not gone:
+            return base
+
+        def change(now: list[Shard]) -> list[Shard]:
+            if missing := {s for s in first if s in gone} - set(now):
+                raise RuntimeError(f"another writer merged {len(missing)} of these shards")
+            return _replaced(now, gone)
+
+        first = self.manifest(base)[1]
+        return self._change(change, options)
 
     def read(self, version: int | None = None) -> DataFrame:
         _, shards = self.manifest(version)
         return self._frame(shards) if shards else self.spark.createDataFrame([], self.schema)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete data files that none of the last ``keep`` versions names."""
-        used = {s.path for v in self.versions()[-keep:] for s in self.manifest(v)[1]}
+    def vacuum(self, keep: int = 1, min_age_s: float = 86_400) -> None:
+        """Delete data files that none of the last ``keep`` versions names, of
+        folders that nothing was written to for ``min_age_s`` seconds."""
         data = self._Path(f"{self._root}/data")
-        for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
+        before = (time.time() - min_age_s) * 1000
+        old = [f for f in self._fs.listStatus(data) if f.getModificationTime() <= before] if self._fs.exists(data) else []
+        # Read after the listing: what was committed meanwhile is in use.
+        used = {s.path for v in self.versions()[-keep:] for s in self.manifest(v)[1]}
+        for folder in old:
             files = self._listed(folder.getPath().toString())
             if not any(f.path in used for f in files):
                 self._fs.delete(folder.getPath(), True)
@@ -201,21 +230,52 @@ class Store:
                         self._fs.delete(self._Path(f.path), False)
 
 
-def placed(store: Store, version: int | None = None) -> DataFrame:
-    """The rows of a version with shard, the number of the file that holds them."""
+def _replaced(shards: list[Shard], gone: dict[Shard, Shard | None]) -> list[Shard]:
+    """The shards with those that were merged left out, and the merged file in the
+    place of its first one; merged files may have been merged again."""
+    out = []
+    for s in shards:
+        while s is not None and s in gone:
+            s = gone[s]
+        if s is not None:
+            out.append(s)
+    return out
+
+
+def _file_of(path: str) -> str:
+    """Folder and name of a file: unique in a store."""
+    return "/".join(path.rsplit("/", 2)[-2:])
+
+
+def placed(store: Store, version: int | None = None, name: str = "shard", columns: dict | None = None, options: Options = Options()) -> DataFrame:
+    """The rows of a version (or ``columns`` made of them) with the number of the
+    file that holds them, under ``name`` or the next free name.
+
+    The number comes from the manifest by a join on the file's name, which is
+    broadcast while the manifest is small; rows are never shuffled then."""
     _, shards = store.manifest(version)
-    numbers = store.spark.createDataFrame([(s.path.rsplit("/", 2)[-2] + "/" + s.path.rsplit("/", 1)[-1], i) for i, s in enumerate(shards)], "_file string, shard long")
     rows = store.read(version)
-    rows = rows.withColumn("_name", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)) if shards else rows.withColumn("_name", F.lit(""))
-    return rows.join(numbers, F.col("_name") == F.col("_file")).drop("_name", "_file")
+    file, key = common.fresh(rows, "_file_of"), common.fresh(rows, "_file")
+    place = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1) if shards else F.lit("")
+    rows = rows.select(*([F.col(f"`{c}`") for c in rows.columns] if columns is None else [c.alias(n) for n, c in columns.items()]), place.alias(file))
+    name = common.fresh(rows, name)
+    numbers = store.spark.createDataFrame([(_file_of(s.path), i) for i, s in enumerate(shards)], f"{key} string, {name} long")
+    if len(shards) <= options.broadcast_shards:
+        numbers = F.broadcast(numbers)
+    return rows.join(numbers, F.col(file) == F.col(key)).drop(file, key)
+
+
+ARRIVALS = 4
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, shard and a hash of the whole row, read back after compaction."""
+    """doc_id, shard and a hash of the whole row, read back after the table came in
+    several arrivals (by a hash of doc_id) and was compacted."""
     docs = common.table(spark, sf_dir, "documents")
     store = Store(spark, common.scratch_path(spark, "shards"), docs.schema)
-    store.append(docs)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for k in range(ARRIVALS):
+        store.append(docs.where(part == k))
     store.compact()
-    store.vacuum()
-    rows = placed(store)
-    return rows.select("doc_id", "shard", F.xxhash64(*docs.columns).alias("row_hash"))
+    store.vacuum(min_age_s=0)  # no one else writes to this store
+    return placed(store, columns={"doc_id": F.col("doc_id"), "row_hash": F.xxhash64(*docs.columns)}).select("doc_id", "shard", "row_hash")
