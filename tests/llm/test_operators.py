@@ -299,22 +299,143 @@ def test_language_model(docs):
         assert r["score"] < 0 and r["bits_per_byte"] > 0
 
 
+def plain_symbols(text):
+    out = []
+    for byte in (" ".join(words(lower(text))) + (" \n" if words(text) else "\n")).encode():
+        at = lm.LISTED.find(byte)
+        out += [at + 1] if at >= 0 else [60 + (byte >> 6), byte & 63]
+    return out
+
+
+def plain_slots(s, i, bit, table_bits):
+    """Slots of all predictors for a bit of symbol i, one symbol and one step at a time."""
+    m32, m64 = (1 << 32) - 1, (1 << 64) - 1
+    back = [s[i - k] if i >= k else 0 for k in range(1, 7)]
+
+    def begin(j):
+        while j > 0 and s[j - 1] > 2:
+            j -= 1
+        return j
+
+    def word(j, upto):
+        return sum((x + 1) * pow(lm._POWER, k, 1 << 64) for k, x in enumerate(s[j:upto])) & m64
+
+    j = begin(i)
+    so_far, before = word(j, i), word(begin(j - 1), j - 1) if j else 0
+    two = back[0] | back[1] << 6
+    four = two | back[2] << 12 | back[3] << 18
+    six = (four * 0x85EBCA77 + (back[4] | back[5] << 6) * 0xC2B2AE3D + 1) & m32
+    one_word = (so_far + 77) * int(lm._MIX) & m64
+    both = (one_word ^ (before + 5) * lm._POWER & m64) * int(lm._MIX) & m64
+    node = 1 << bit | s[i] >> 6 - bit
+    hashed = [four * 0x9E3779B1, (six ^ six >> 15) * 0x9E3779B1, one_word >> 32, both >> 32]
+    return [back[0] << 6 | node, two << 6 | node, *((h + int(lm._NODE[node]) & m32) >> 32 - table_bits for h in hashed)]
+
+
+LM_TEXTS = ["the river runs to the sea", "the sea is wide, the river is long; Über 42 ÑANDÚ", "", "x", "a river a river a river", "the stone", None, "  the\triver\nruns  "]
+
+
+def test_language_model_against_brute_force():
+    """Tables and scores, bit by bit with dictionaries; windows do not show."""
+    texts = pa.array([t or "" for t in LM_TEXTS])
+    options = lm.Options(table_bits=16)
+    known = lm._known(options)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in LM_TEXTS:
+        s = plain_symbols(t)
+        for i, b in itertools.product(range(len(s)), range(6)):
+            for k, slot in enumerate(plain_slots(s, i, b, 16)):
+                counts[k, slot][s[i] >> 5 - b & 1] += 1
+    _, begins = lm.layout(16)
+    table = np.zeros((begins[-1], 2), np.int32)
+    lm.count_bits(table, texts, options, known)
+    assert {(k, s): v for (k, s), v in counts.items()} == {(k, int(s)): table[begins[k] + s].tolist() for k in range(lm.PREDICTORS) for s in np.flatnonzero(table[begins[k] : begins[k + 1]].any(axis=1))}
+    model = lm.first_model(lm.paired(table.astype(np.int64)))
+    for last in (False, False, True):
+        model = lm.learned(model, lm.slopes(model, texts, options, known), last)
+    stream = lm.Stream(texts)
+    got = np.add.reduceat(lm.spell(model, stream, options, known), np.concatenate(([0], stream.ends[:-1])), dtype=float)
+    for t, total in zip(LM_TEXTS, got):
+        s, expected = plain_symbols(t), 0.0
+        for i in range(len(s)):
+            seen = sum(counts.get((k, slot), [0, 0]) != [0, 0] for k, slot in enumerate(plain_slots(s, i, 0, 16)) if k >= 3)
+            for b in range(6):
+                pairs = [counts.get((k, slot), [0, 0]) for k, slot in enumerate(plain_slots(s, i, b, 16))]
+                x = [np.round(16 * math.log((p[1] + 0.4) / (p[0] + 0.4))) / 16 for p in pairs]
+                mixed = min(max(sum(w * v for w, v in zip(model.weights[seen, b].tolist(), x)), -7.99), 7.99)
+                p = (1 / (1 + math.exp(-mixed)) + float(model.map[seen, b, int((mixed + 8) * 4)])) / 2
+                expected += math.log10(p if s[i] >> 5 - b & 1 else 1 - p)
+        assert total == pytest.approx(expected, rel=1e-3)
+    small = lm.Options(table_bits=16, window=16, overlap=64)
+    assert np.array_equal(lm.spell(model, lm.Stream(texts), small, lm._known(small)), lm.spell(model, stream, options, known))
+
+
 def test_language_model_is_a_distribution():
-    """Bit by bit the model's byte probabilities sum to one, and a trained word beats noise."""
-    words_, counts = pa.array(["the", "then", "thing", "stone"]), np.array([50, 20, 10, 5])
-    table = lm.bit_counts([pa.RecordBatch.from_arrays([words_, pa.array(counts)], names=["word", "c"])], 16)
-    mixer = lm.train_mixer(words_, counts, table, 16, 0.02)
-    scores = lm.word_scores(pa.array(["the", "qzx"]), table, 16, mixer)
-    assert scores[0] > scores[1] + 1
-    one_byte = pa.array([bytes([b]) for b in range(256)], pa.binary())
-    data = lm.Bytes(one_byte)
-    total = np.zeros(256)
-    for bit, slots in data.bits(16):
-        zero, one = [table[0, s] for s in slots], [table[1, s] for s in slots]
-        x, gate = lm._inputs(zero, one, data.first)
-        p = mixer.refine(mixer.mix(x, gate), gate)
-        total += np.where(data.first, np.log2(np.where(bit == 1, p, 1 - p)), 0)[data.first]
-    assert 2.0 ** total @ np.ones(256) == pytest.approx(1.0)
+    """The probabilities of all symbols in a place sum to one."""
+    texts = pa.array(["the then thing stone the the"] * 20)
+    options = lm.Options(table_bits=16)
+    known = lm._known(options)
+    _, begins = lm.layout(16)
+    table = np.zeros((begins[-1], 2), np.int32)
+    lm.count_bits(table, texts, options, known)
+    model = lm.first_model(lm.paired(table.astype(np.int64)))
+    model = lm.learned(model, lm.slopes(model, texts, options, known), False)
+    stream = lm.Stream(pa.array(["th"] * 64))
+    at = stream.token_ends[::2] - 1  # the place of the "h"
+    stream.symbols[at] = np.arange(64)
+    # A gate looks at the symbol's contexts only, so one symbol's gate holds for all.
+    assert (10.0 ** lm.spell(model, stream, options, known)[at].astype(float)).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_language_model_sees_order_and_copies(spark):
+    """Scores change with the order of words; a second copy elsewhere makes a text cheap;
+    partitions and neighbours do not show."""
+    train = [(i, prose(60, i)) for i in range(100)]
+    trained = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(1000, 1020) if i not in trained)
+    one, two, alone = trained[:3]
+    same = [(one, prose(300, 777)), (two, prose(300, 777)), (held, prose(300, 777)), (alone, prose(300, 778))]
+    order = [(2000, "alpha beta gamma river"), (2001, "gamma river beta alpha"), (2002, "river alpha beta gamma")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in train + same + order], SCHEMA)
+    first = {r["doc_id"]: r for r in lm.scores(docs.repartition(1)).collect()}
+    again = {r["doc_id"]: r for r in lm.scores(docs.repartition(5, "text"), lm.Options(part_chars=3000, task_chars=4000)).collect()}
+    for i, r in first.items():
+        assert r["score"] == pytest.approx(again[i]["score"], rel=1e-4) and r["base_score"] == pytest.approx(again[i]["base_score"])
+    assert len({round(first[i]["score"], 6) for i, _ in order}) == 3
+    assert all(first[i]["bits_per_byte"] < 0.5 * first[alone]["bits_per_byte"] for i in (one, two, held))
+
+
+def test_passages():
+    """Bits of succession: a document's own successions do not count, another's do."""
+    found = np.array([11, 12, 13, 11, 12, 14], np.int64)
+    n_chunks, spelled = np.array([3, 3]), np.full(6, -10.0)
+    nothing = np.zeros(0, np.int64)
+    assert lm.passage_score(found, spelled, n_chunks, np.array([False, True]), nothing, nothing, nothing, nothing).tolist() == [-30.0, -30.0]
+    ctx, best, n = np.array([0, 11, 12]), np.array([11, 12, 13]), np.array([1, 1, 1])
+    own, other = lm.passage_score(found, spelled, n_chunks, np.array([False, True]), ctx, best, n, n)
+    assert own == -30.0  # training: only its own successions are known
+    p = lambda *x: 1 / (1 + math.exp(-sum(x)))
+    s = math.log(1.4 / 0.4)
+    expected = math.log10(p(s)) + math.log10(p(0.4 * s, 0.8 * math.log(1.4 / 0.4))) + math.log10(1 - p(0.4 * s, 0.8 * math.log(2.4 / 0.4))) - 10
+    assert other == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("n", [0, 1, 200, 5000])
+def test_chunks(n):
+    """Chunks end at chosen words, at a text's end, or after 64 words, and equal words give equal hashes."""
+    r = np.random.default_rng(n)
+    hashes = r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1) if n != 200 else r.integers(0, 1 << 63, n).astype(np.uint64)
+    last = np.zeros(n, bool)
+    last[99::100] = True
+    last[n - 1 :] = True
+    ends, found = lm.chunks(hashes, last)
+    expected, size = [], 0
+    for i in range(n):
+        size += 1
+        if last[i] or hashes[i] % np.uint64(16) == 0 or size == 64:
+            expected.append(i)
+            size = 0
+    assert ends.tolist() == expected and len(found) == len(expected)
 
 
 # 1: personal data
