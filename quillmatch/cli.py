@@ -7,6 +7,7 @@ import getpass
 import os
 import sys
 import threading
+import time
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -24,7 +25,7 @@ class Unique(argparse.Action):
     def __call__(self, parser, namespace, values, option=None):
         repeated = sorted({str(v) for v in values if list(values).count(v) > 1})
         if repeated:
-            parser.error(tr("You cannot specify the same value multiple times. You provided: {}", ", ".join(repeated)))
+            parser.error(tr("Give each value once; given more than once: {}", ", ".join(repeated)))
         setattr(namespace, self.dest, list(values))
 
 
@@ -37,13 +38,13 @@ class Password(argparse.Action):
 
 def directory(path: str) -> Path:
     if not os.path.isdir(path):
-        raise argparse.ArgumentTypeError(tr("Directory '{}' not found or not a directory.", path))
+        raise argparse.ArgumentTypeError(tr("There is no directory '{}'.", path))
     return Path(path).resolve()
 
 
 def file(path: str) -> Path:
     if not os.path.isfile(path):
-        raise argparse.ArgumentTypeError(tr("File '{}' not found or not a file.", path))
+        raise argparse.ArgumentTypeError(tr("There is no file '{}'.", path))
     return Path(path).resolve()
 
 
@@ -96,14 +97,14 @@ def parse(args: Sequence[str] | None = None) -> argparse.Namespace:
     p = parser()
     a = p.parse_args(args)
     if a.root == "settings" and a.settings == "modify" and not any(getattr(a, k, None) is not None for k in config.KEYS):
-        p.error(tr("There is nothing to modify; please provide at least one argument."))
+        p.error(tr("Here is nothing to modify: name a setting."))
     if a.root == "check":
         if a.repo_regexp and not a.github_user:
-            p.error(tr("The 'repo-regexp' option requires the provided 'github-user' option."))
+            p.error(tr("--repo-regexp chooses among the repositories of --github-user, which is missing."))
         if a.path_regexp and not (a.directories or a.github_user or a.github_urls):
-            p.error(tr("The 'path-regexp' option requires the provided 'directories', 'github-user', or 'github-urls' options."))
+            p.error(tr("--path-regexp needs directories, a user or links to choose from."))
     if a.root == "report" and bool(a.first_root_path) != bool(a.second_root_path):
-        p.error(tr("All paths must be provided."))
+        p.error(tr("Give both root paths or none."))
     return a
 
 
@@ -113,14 +114,11 @@ def csv_path(reports: Path) -> str:
 
 def show_progress(spark, workers: int, stop: threading.Event) -> None:
     """Print the share of tasks done in the stages that run, once a second."""
-    tracker = spark.sparkContext.statusTracker()
+    tracker, began = spark.sparkContext.statusTracker(), time.monotonic()
     while not stop.wait(1.0):
-        stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
-        if stages:
-            progress = display.Progress(sum(x.numTasks for x in stages))
-            for _ in range(1 + sum(x.numCompletedTasks for x in stages)):
-                next(progress, None)
-            print(display.progress_line(progress, workers), end="\r")
+        progress = display.Progress.of_stages(map(tracker.getStageInfo, tracker.getActiveStageIds()), began)
+        if progress.total:
+            print(progress.line(workers), end="\r")
 
 
 def run(a: argparse.Namespace) -> int:
@@ -167,7 +165,7 @@ def run(a: argparse.Namespace) -> int:
         return schema.ExitCode.SUCCESS
     shown = done.shown(s["short_output"])
     for row in shown.toLocalIterator() if shown is not None else ():
-        matrix = compliance_table(shown, row["first_path"], row["second_path"]) if display.show_matrix(row["structure"]["similarity"], threshold) else None
+        matrix = compliance_table(row) if display.show_matrix(row["structure"]["similarity"], threshold) else None
         print(display.compare_text(row, matrix))
     return done.exit_code
 
@@ -178,10 +176,10 @@ def main(args: Sequence[str] | None = None) -> int:
     try:
         return run(a)
     except KeyboardInterrupt:
-        config.log.warning(tr("The util was stopped by the user."))
+        config.log.warning(tr("Stopped."))
         return schema.ExitCode.KEYBOARD
     except Exception:
-        config.log.error(tr("An unexpected error occurred while running the util."), exc_info=True)
+        config.log.error(tr("The run failed."), exc_info=True)
         return schema.ExitCode.UNEXPECTED
 
 

@@ -121,7 +121,3 @@ def structure_sha256(structure: Column | str) -> Column:
     """SHA-256 of the list of node ids, written as ``[0, 1, 2]``."""
     ids = F.array_join(F.transform(col(structure), lambda x: x["uid"].cast("string")), ", ")
     return F.sha2(F.concat(F.lit("["), ids, F.lit("]")), 256)
-
-
-def matrix_array(matrix) -> np.ndarray:
-    return np.array(matrix, dtype=np.int64)

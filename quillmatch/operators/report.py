@@ -24,34 +24,36 @@ def percent_matrix_column(matrix: Column | str, scale: bool = True) -> Column:
     return F.transform(m, lambda row: F.transform(row, lambda c: c[0].cast("double") / c[1] * (100 if scale else 1)))
 
 
-def replace_minimal(best: dict[str, float], name: str, value: float) -> None:
-    """Put the value in the place of the first smallest one, if it is larger."""
-    smallest = min(best, key=best.__getitem__)
-    if value > best[smallest]:
-        del best[smallest]
-        best[name] = value
+def most_similar(cells, threshold: float = DEFAULT_THRESHOLD, below: bool = True, n: int = MOST_HEADS) -> list[tuple[str, float]]:
+    """Of (head, percent) cells in their order, those to list, the largest first.
+
+    A cell at the threshold is listed while fewer than n are; after that it has to
+    beat the weakest one listed (the earliest of equal ones), which it replaces.
+    With ``below`` the first cell is listed whatever its percent. Any other cell
+    under the threshold can only replace a single listed one that it beats. A head
+    met again takes the new percent. Equal percents keep the order of listing."""
+    listed: dict[str, float] = {}
+    for head, percent in cells:
+        weakest = min(listed, key=listed.__getitem__, default=None)
+        if percent >= threshold:
+            rival = weakest if len(listed) >= n else None
+        elif weakest is None and below:
+            rival = None
+        elif len(listed) == 1:
+            rival = weakest
+        else:
+            continue
+        if rival is not None:
+            if percent <= listed[rival]:
+                continue
+            del listed[rival]
+        listed[head] = percent
+    return sorted(listed.items(), key=lambda cell: cell[1], reverse=True)
 
 
 def same_functions(first: list[str], second: list[str], percents, threshold: float = DEFAULT_THRESHOLD, below: bool = True, n: int = MOST_HEADS) -> dict[str, list[tuple[str, float]]]:
-    """For each head of the first work the (head, percent) of the second that are
-    most alike: at most n at the threshold; with ``below``, one under it if need be."""
-    out = {}
-    for head, row in zip(first, percents):
-        best: dict[str, float] = {}
-        for other, value in zip(second, row):
-            if below and not best:
-                best[other] = value
-            elif value < threshold:
-                if len(best) == 1 and (old := next(iter(best))) is not None and best[old] < value:
-                    best[other] = value
-                    if old != other:
-                        del best[old]
-            elif len(best) < n:
-                best[other] = value
-            else:
-                replace_minimal(best, other, value)
-        out[head] = sorted(best.items(), key=lambda x: -x[1])
-    return out
+    """For each head of the first work the (head, percent) of the second that are most alike."""
+    return {head: most_similar(zip(second, row), threshold, below, n) for head, row in zip(first, percents)}
 
 
 SAME = "path string, other_path string, n_heads int, head string, other_head string, percent double, rank int"
@@ -118,7 +120,7 @@ def unique_paths(infos: DataFrame) -> tuple[DataFrame, DataFrame]:
 def under_roots(infos: DataFrame, first_root: str | None, second_root: str | None) -> DataFrame:
     """Pairs whose paths begin with the two roots, in order of the roots; both or none."""
     if bool(first_root) != bool(second_root):
-        raise ValueError("All paths must be provided.")
+        raise ValueError("give both roots or none")
     if not first_root:
         return infos
     a, b = sorted((str(first_root), str(second_root)))
@@ -132,10 +134,10 @@ def compliance_long(infos: DataFrame) -> DataFrame:
     return cells.select("first_path", "second_path", "i", "j", F.get("first_heads", F.col("i")).alias("first_head"), F.get("second_heads", F.col("j")).alias("second_head"), (F.get("cell", F.lit(0)) / F.get("cell", F.lit(1))).alias("ratio"))
 
 
-def compliance_table(infos: DataFrame, first: str, second: str) -> pd.DataFrame:
-    """The matrix of one pair as a labelled table."""
-    rows = compliance_long(infos.where((F.col("first_path") == first) & (F.col("second_path") == second))).orderBy("i", "j").toPandas()
-    if rows.empty:
+def compliance_table(row) -> pd.DataFrame:
+    """The matrix of one compare_info row as a table labelled by the heads."""
+    cells = [[cell[0] / cell[1] for cell in line] for line in row["structure"]["compliance_matrix"] or []]
+    if not cells:
         return pd.DataFrame()
-    heads = rows.drop_duplicates("i")["first_head"], rows.drop_duplicates("j")["second_head"]
-    return pd.DataFrame(rows["ratio"].to_numpy().reshape(len(heads[0]), -1), index=heads[0].tolist(), columns=heads[1].tolist(), dtype=object)
+    pad = lambda names, size: [*names, *[""] * size][:size]
+    return pd.DataFrame(cells, index=pad(row["first_heads"], len(cells)), columns=pad(row["second_heads"], len(cells[0])), dtype=object)

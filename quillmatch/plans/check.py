@@ -37,6 +37,7 @@ class WorksComparator:
         self, spark: SparkSession, extension: str, mode: str = "many_to_many", threshold: int | None = DEFAULT_THRESHOLD, ngrams_length: int = DEFAULT_NGRAMS,
         max_depth: int = DEFAULT_MAX_DEPTH, path_regexp: str | None = None, repo_regexp: str | None = None, all_branches: bool = False, token: str = "",
         features: Store | None = None, results: Store | None = None, csv_report: str | None = None, weights: Sequence[float] = DEFAULT_WEIGHTS,
+        flush_pairs: int = 1_000_000,
     ) -> None:
         if extension not in EXTENSIONS and extension != "html":
             raise ValueError(f"unknown extension '{extension}'")
@@ -44,7 +45,7 @@ class WorksComparator:
             raise ValueError(f"the mode must be one of {MODES}")
         self.spark, self.extension, self.mode, self.threshold, self.n = spark, extension, mode, threshold, ngrams_length
         self.max_depth, self.path_regexp, self.repo_regexp, self.all_branches, self.token = max_depth, path_regexp, repo_regexp, all_branches, token
-        self.features, self.results, self.csv_report, self.weights = features, results, csv_report, weights
+        self.features, self.results, self.csv_report, self.weights, self.flush_pairs = features, results, csv_report, weights, flush_pairs
 
     def works(self, files: Sequence[str] = (), directories: Sequence[str] = (), github_user: str = "", github_urls: Sequence[str] = ()) -> DataFrame | None:
         """All works; each directory, URL and repository is a collection, all files are one."""
@@ -77,17 +78,28 @@ class WorksComparator:
         return every
 
     def compare(self, features: DataFrame) -> Outcome:
+        """Compare all pairs, batch by batch: what a batch finds is stored before the
+        next one begins, so a run that dies loses one batch at most, and the next
+        run takes the rest up from there."""
         candidates = pairs.candidates(features, self.threshold, self.n, self.mode, self.weights)
         cached = None
         if self.results is not None:
             cached, candidates = split_cached_pairs(candidates, features, self.results.read())
             cached = cached.persist()
-        found = compare.compare_pairs(candidates, features, self.threshold, self.n, self.max_depth, self.weights).persist()
-        n = found.count() + (cached.count() if cached is not None else 0)
-        if self.results is not None and not found.isEmpty():
-            self.results.upsert(found)
-        if self.csv_report and not found.isEmpty():
-            upsert_csv(self.spark, self.csv_report, found)
+        batches = 1
+        if self.results is not None or self.csv_report:
+            candidates = candidates.persist()
+            batches = max(1, -(-candidates.count() // self.flush_pairs))
+        found, n = None, cached.count() if cached is not None else 0
+        for k in range(batches):
+            some = candidates if batches == 1 else candidates.where(F.pmod(F.xxhash64("first", "second"), F.lit(batches)) == k)
+            part = compare.compare_pairs(some, features, self.threshold, self.n, self.max_depth, self.weights).persist()
+            new = part.count()
+            if new and self.results is not None:
+                self.results.upsert(part)
+            if new and self.csv_report:
+                upsert_csv(self.spark, self.csv_report, part)
+            found, n = part if found is None else found.unionByName(part), n + new
         return Outcome(found, cached, ExitCode.FOUND_SIMILAR if n else ExitCode.SUCCESS)
 
     def check(self, files: Sequence[str] = (), directories: Sequence[str] = (), github_user: str = "", github_urls: Sequence[str] = ()) -> Outcome | None:

@@ -45,7 +45,7 @@ def write_config(path: Path, settings: dict) -> None:
 def read_settings(path: Path | None = None) -> dict:
     found = read_config(path or config_path(), safe=True)
     if found is None:
-        log.warning("Unsuccessful attempt to read config '%s'. Returning default config.", path or config_path())
+        log.warning("No readable settings at %s; the defaults hold.", path or config_path())
         return dict(DEFAULTS)
     merged = DEFAULTS | {k: v for k, v in found.items() if k in KEYS}
     return {k: Path(v) if k in PATHS and v is not None else v for k, v in merged.items()}

@@ -58,10 +58,10 @@ class Client:
             if e.code == 304:
                 return self.known[url][1]
             if e.code in (400, 403, 404):
-                raise SourceError(f"GitHub error: '{json.load(e).get('message', '')}' for url '{url}'.") from e
-            raise SourceError("The access token is bad.") from e
+                raise SourceError(f"The code host answered {e.code} for {url}: {json.load(e).get('message', '')}") from e
+            raise SourceError(f"The code host refused the access token ({e.code}).") from e
         except (urllib.error.URLError, ConnectionError) as e:
-            raise SourceError("Connection error. Please check the Internet connection.") from e
+            raise SourceError(f"The code host could not be reached: {e}") from e
         if tag:
             if len(self.known) >= self.most:
                 self.known.pop(next(iter(self.known)))
@@ -126,7 +126,7 @@ class Host:
     def repositories(self, owner: str, pattern: str | None = None) -> Iterator[Repository]:
         kind = self.client.get(f"/users/{owner}").get("type", "").lower()
         if kind not in ("user", "organization"):
-            raise SourceError(f"Not supported user type {kind}.")
+            raise SourceError(f"{owner} is neither a user nor an organization ({kind})")
         for r in self._pages(f"/{'users' if kind == 'user' else 'orgs'}/{owner}/repos"):
             if pattern is None or re.search(pattern, r["name"]):
                 yield Repository(r["name"], r["html_url"])

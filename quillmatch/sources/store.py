@@ -1,11 +1,18 @@
 """Stores of features and results: keyed upserts, caches, CSV reports.
 
-Reports and features are Parquet folders; an upsert writes a new version beside
-the old one and then renames a pointer file, so readers see one version whole.
+A store is a sequence of Parquet folders; of the rows with one key that of the
+last folder counts. An upsert writes its rows as a further folder and commits a
+version file that lists all folders, by a rename that fails if the version is
+there already. A writer that lost such a race commits again on top of the one
+that won, so no writer's rows are lost. Many folders are merged into one now and
+then. Folders that no recent version lists are deleted only after
+``KEEP_SECONDS``: frames that still read them, and tasks that read them anew
+after the loss of an executor, find them in their place.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,39 +31,102 @@ def upserted(old: DataFrame, new: DataFrame, key) -> DataFrame:
     return old.join(new.select(*key).distinct(), list(key), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+#: How long folders stay that the last version does not list.
+KEEP_SECONDS = 7 * 86_400.0
+#: Folders of a version, at most, before they are merged.
+MOST_FOLDERS = 16
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key) -> None:
         self.spark, self.path, self.schema, self.key = spark, str(path).rstrip("/"), schema, tuple(key)
-        jvm = spark._jvm
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        """The name of the last version: version folders are named by a rising number."""
-        root = self._Path(self.path)
-        if not self._fs.exists(root):
-            return None
-        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
-        done = sorted(n for n in names if n.startswith("v"))
-        return done[-1] if done else None
+        self._fs = self._Path(self.path).getFileSystem(conf)
+        root = self._fs.makeQualified(self._Path(self.path))
+        self._context, self._root = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf), root.toString()
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._Path(f"{self._root}/{folder}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _current(self) -> tuple[int, list[str]]:
+        """The last version (0: none) and its folders, the oldest first."""
+        known = [n for n in self._names("versions") if n.startswith("v")]
+        if not known:
+            return 0, []
+        path = self._Path(f"{self._root}/versions/{known[-1]}")
+        size = self._fs.getFileStatus(path).getLen()
+        stream = self._fs.open(path)
+        body = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+        stream.close()
+        return int(known[-1][1:]), body.decode().split()
+
+    def _commit(self, version: int, folders: list[str]) -> bool:
+        """Make a version visible; False if another writer has made it first."""
+        made, final = self._Path(f"{self._root}/versions/.{uuid.uuid4().hex}"), self._Path(f"{self._root}/versions/v{version:09d}")
+        stream = self._fs.create(made, False)
+        stream.write(bytearray("\n".join(folders).encode()))
+        stream.close()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._context.rename(made, final, plain)
+        except Exception:
+            self._fs.delete(made, False)
+            if not self._fs.exists(final):
+                raise
+            return False
+        return True
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        read = self.spark.read.schema(self.schema)
+        if len(folders) < 2:
+            return read.parquet(f"{self._root}/data/{folders[0]}") if folders else self.spark.createDataFrame([], self.schema)
+        every = None
+        for age, folder in enumerate(folders):
+            part = read.parquet(f"{self._root}/data/{folder}").select(F.lit(age).alias("_age"), F.struct(*self.schema.names).alias("_row"))
+            every = part if every is None else every.unionByName(part)
+        # Keys are compared as they are: a null key is a key.
+        last = every.groupBy(*[F.col(f"_row.{k}") for k in self.key]).agg(F.max_by("_row", "_age").alias("_row"))
+        return last.select("_row.*")
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}") if now else self.spark.createDataFrame([], self.schema)
+        return self._rows(self._current()[1])
 
     def upsert(self, rows: DataFrame) -> None:
-        now = self._current()
-        number = int(now[1:]) + 1 if now else 1
-        temporary = f"{self.path}/.{uuid.uuid4().hex}"
-        out = upserted(self.read(), rows, self.key) if now else rows.select(*self.schema.names)
-        out.write.parquet(temporary)
-        if not self._fs.rename(self._Path(temporary), self._Path(f"{self.path}/v{number:09d}")):
-            raise RuntimeError("another writer changed the store")
-        if now:
-            self._fs.delete(self._Path(f"{self.path}/{now}"), True)
+        folder = uuid.uuid4().hex
+        rows.select(*self.schema.names).dropDuplicates(list(self.key)).write.parquet(f"{self._root}/data/{folder}")
+        while True:
+            version, folders = self._current()
+            if self._commit(version + 1, [*folders, folder]):
+                break
+        if len(folders) >= MOST_FOLDERS:
+            self.merge()
+
+    def merge(self) -> None:
+        """One folder instead of those of the current version; later upserts stay on top."""
+        _, old = self._current()
+        folder = uuid.uuid4().hex
+        self._rows(old).write.parquet(f"{self._root}/data/{folder}")
+        while True:
+            version, folders = self._current()
+            if folders[: len(old)] != old:  # another writer merged first
+                return
+            if self._commit(version + 1, [folder, *folders[len(old) :]]):
+                return self.vacuum()
+
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS) -> None:
+        """Delete old folders that the last version does not list, and old version files."""
+        before = (time.time() - keep_seconds) * 1000
+        old = {d: [f.getPath() for f in self._fs.listStatus(self._Path(f"{self._root}/{d}")) if f.getModificationTime() < before] for d in ("data", "versions")}
+        version, folders = self._current()  # after the listing, so that no new commit is missed
+        for d, used in (("data", set(folders)), ("versions", {f"v{version:09d}"})):
+            for path in old[d]:
+                if path.getName() not in used:
+                    self._fs.delete(path, True)
 
     def clear(self) -> None:
-        self._fs.delete(self._Path(self.path), True)
+        self._fs.delete(self._Path(self._root), True)
 
 
 def result_store(spark: SparkSession, path: str) -> Store:

@@ -30,7 +30,10 @@ def check_batch(works: DataFrame, extension: str, features: Store, results: Stor
     fresh = new.select(F.col("filepath").alias("_new"))
     every = features.read().join(fresh, F.col("filepath") == F.col("_new"), "left_anti").unionByName(new)
     found = pairs.candidates(every, threshold, n)
-    touched = found.join(fresh, (F.col("first") == F.col("_new")) | (F.col("second") == F.col("_new")), "left_semi") if new.count() < 1000 else found
+    # Two equi-joins instead of one on either side, which would be a nested loop.
+    one, other = (found.join(fresh, F.col(side) == F.col("_new"), "left_semi") for side in ("first", "second"))
+    touched = one.unionByName(other).distinct()
+    # Results first: works whose features are stored already would not be compared again.
     results.upsert(compare.compare_pairs(touched, every, threshold, n))
     features.upsert(new)
     new.unpersist()

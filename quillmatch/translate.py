@@ -10,16 +10,16 @@ RU = {
     "Search for similar works.": "Искать похожие работы.",
     "Work with reports.": "Работа с отчётами.",
     "Write a report.": "Записать отчёт.",
-    "There is nothing to modify; please provide at least one argument.": "Нечего изменять; укажите хотя бы один аргумент.",
-    "The 'repo-regexp' option requires the provided 'github-user' option.": "Для опции 'repo-regexp' нужна опция 'github-user'.",
-    "The 'path-regexp' option requires the provided 'directories', 'github-user', or 'github-urls' options.": "Для опции 'path-regexp' нужна одна из опций 'directories', 'github-user' или 'github-urls'.",
-    "All paths must be provided.": "Нужно указать все пути.",
-    "You cannot specify the same value multiple times. You provided: {}": "Нельзя указать одно значение несколько раз. Указаны: {}",
-    "Directory '{}' not found or not a directory.": "Каталог '{}' не найден или не является каталогом.",
-    "File '{}' not found or not a file.": "Файл '{}' не найден или не является файлом.",
+    "Here is nothing to modify: name a setting.": "Нечего изменять: назовите настройку.",
+    "--repo-regexp chooses among the repositories of --github-user, which is missing.": "--repo-regexp выбирает из репозиториев --github-user, а он не задан.",
+    "--path-regexp needs directories, a user or links to choose from.": "--path-regexp выбирает из каталогов, ссылок или пользователя, а они не заданы.",
+    "Give both root paths or none.": "Укажите оба корневых пути или ни одного.",
+    "Give each value once; given more than once: {}": "Значения не должны повторяться: {}",
+    "There is no directory '{}'.": "Нет каталога '{}'.",
+    "There is no file '{}'.": "Нет файла '{}'.",
     "There are no reports.": "Отчётов нет.",
-    "The util was stopped by the user.": "Утилита остановлена пользователем.",
-    "An unexpected error occurred while running the util.": "При работе утилиты произошла непредвиденная ошибка.",
+    "Stopped.": "Остановлено.",
+    "The run failed.": "Запуск не удался.",
 }
 _language = "en"
 

@@ -103,7 +103,7 @@ def test_check_stores_and_reports(spark, works, tmp_path):
         assert "my_func[1]" in open(path).read()
     with pytest.raises(ValueError):
         report.under_roots(r.read(), "a", None)
-    table = report.compliance_table(r.read(), a["first_path"], a["second_path"])
+    table = report.compliance_table(a)
     assert table.shape == (2, 2)
     r.clear()
     assert r.read().count() == 0
@@ -213,19 +213,81 @@ def test_settings(tmp_path):
 
 
 def test_progress():
-    p = display.Progress(2)
-    assert [next(p), next(p), next(p)] == [0.0, 0.5, 1.0] and str(p) == "Progress: 100.00%"
-    with pytest.raises(StopIteration):
-        next(p)
-    c = display.ComplexProgress(2)
-    c.add_internal_progress(2)
-    c.add_internal_progress(0)
-    with pytest.raises(IndexError):
-        c.add_internal_progress(1)
-    assert c.progress == 0.5 and display.colorize("x", display.Color.FAIL).startswith("\033[91m")
+    stage = lambda done, total: type("Stage", (), {"numCompletedTasks": done, "numTasks": total})
+    p = display.Progress.of_stages([stage(1, 4), None, stage(2, 2)], began=100.0)
+    assert (p.done, p.total, p.share) == (3, 6, 0.5) and p.seconds_left(110.0) == 10
+    assert p.line(8, 110.0) == "50.0% of 6 tasks, 0:00:10 passed, about 0:00:10 left, 8 workers"
+    assert "unknown" in display.Progress(0, 5, 100.0).line(1, 101.0) and display.Progress().share == 1.0
+    assert display.styled("x", "red") == "\033[91mx\033[0m" and display.styled("x") == "x"
     assert display.highlight("a\nb", [(1, 0), (2, 0)], [1]).count("\033") == 3
 
 
+def rows_of(spark, pairs):
+    return spark.createDataFrame(pairs, "k long, v string")
+
+
+def test_store_of_two_writers(spark, tmp_path):
+    """Of two writers that begin from one version neither loses its rows."""
+    schema = rows_of(spark, []).schema
+    one, two = (store.Store(spark, str(tmp_path / "s"), schema, ["k"]) for _ in range(2))
+    one.upsert(rows_of(spark, [(1, "a"), (2, "b")]))
+    commit, raced = one._commit, []
+
+    def late(version, folders):
+        if not raced:
+            raced.append(two.upsert(rows_of(spark, [(2, "c"), (3, "d")])))
+        return commit(version, folders)
+
+    one._commit = late
+    one.upsert(rows_of(spark, [(1, "e"), (4, "f"), (4, "f")]))
+    expected = [(1, "e"), (2, "c"), (3, "d"), (4, "f")]
+    assert sorted(map(tuple, two.read().collect())) == expected
+    raced.clear()
+    one.merge()  # another upsert comes in between
+    assert sorted(map(tuple, one.read().collect())) == expected
+    with pytest.raises(Exception, match="."):
+        one._fs.getFileStatus(one._Path(f"{one._root}/versions/v000000099"))
+    one.clear()
+    assert one.read().count() == 0
+
+
+def test_store_keeps_what_frames_read(spark, tmp_path, monkeypatch):
+    """A frame whose cached blocks are lost is read again after upserts and merges."""
+    s = store.Store(spark, str(tmp_path / "s"), rows_of(spark, []).schema, ["k"])
+    s.upsert(rows_of(spark, [(1, "a")]))
+    held = s.read().persist()
+    assert held.count() == 1
+    monkeypatch.setattr(store, "MOST_FOLDERS", 2)
+    for k in range(4):
+        s.upsert(rows_of(spark, [(k, "b")]))
+    held.unpersist(True)
+    assert [tuple(r) for r in held.collect()] == [(1, "a")]
+    assert sorted(map(tuple, s.read().collect())) == [(k, "b") for k in range(4)]
+    s.vacuum(0)
+    assert len(s._names("data")) <= 3 and s.read().count() == 4
+
+
+def test_results_are_stored_batch_by_batch(spark, works, tmp_path, monkeypatch):
+    """What was found before a run died is kept, and the next run takes up the rest."""
+    r = store.result_store(spark, str(tmp_path / "r"))
+    make = lambda **more: check.WorksComparator(spark, "py", threshold=None, results=r, flush_pairs=1, **more)
+    upsert, n = r.upsert, []
+
+    def dies(rows):
+        if n:
+            raise OSError("lost")
+        n.append(rows.count())
+        upsert(rows)
+
+    monkeypatch.setattr(r, "upsert", dies)
+    with pytest.raises(OSError):
+        make().check(directories=[str(works)])
+    assert r.read().count() == n[0] > 0
+    monkeypatch.setattr(r, "upsert", upsert)
+    done = make().check(directories=[str(works)])
+    assert done.cached.count() == n[0] and r.read().count() == 3
+
+
 def test_streaming(spark, works, tmp_path):
     from quillmatch.streaming import works as stream
 

@@ -151,9 +151,14 @@ def test_report_figures(spark):
     assert report.same_functions(one_, two, m, 70, True, 2) == {
         "foo": [("sub", 50.0)], "bar": [("div", 80.0), ("sum", 74.0)], "foobar": [("sub", 90.0), ("div", 85.0)], "barfoo": [("func_name", 40.0)]}
     assert report.same_functions(one_, two, m, 70, False, 2) == {"foo": [], "bar": [("div", 80.0), ("sum", 74.0)], "foobar": [("sub", 90.0), ("div", 85.0)], "barfoo": []}
-    best = {"foo": 10.1, "bar": 20.5}
-    report.replace_minimal(best, "foobar", 30.5)
-    assert best == {"bar": 20.5, "foobar": 30.5}
+    cells = lambda *percents: [(f"h{k}", p) for k, p in enumerate(percents)]
+    # Of equal weakest ones the earliest gives way; equal percents are no reason to.
+    assert report.most_similar(cells(70.0, 70.0, 90.0, 80.0), 65, n=3) == [("h2", 90.0), ("h3", 80.0), ("h1", 70.0)]
+    assert report.most_similar(cells(70.0, 70.0, 70.0, 70.0), 65, n=3) == [("h0", 70.0), ("h1", 70.0), ("h2", 70.0)]
+    assert report.most_similar(cells(10.0, 80.0, 85.0, 90.0, 85.0), 65, n=3) == [("h3", 90.0), ("h2", 85.0), ("h4", 85.0)]
+    assert report.most_similar(cells(10.0, 12.0, 12.0, 70.0), 65, n=3) == [("h3", 70.0), ("h1", 12.0)]
+    assert report.most_similar([("f", 70.0), ("g", 80.0), ("f", 75.0)], 65, n=3) == [("g", 80.0), ("f", 75.0)]
+    assert report.most_similar(cells(10.0, 64.9), 65, below=False) == [] == report.most_similar([], 65)
     infos = spark.createDataFrame([("a.py", "c.py", 0.15), ("b.py", "d.py", 0.1), ("a.py", "e.py", 0.3)], "first_path string, second_path string, weighted_average double")
     a, b = report.unique_paths(infos)
     assert report.general_total(infos, a, b).first()[0] == 20.0
