@@ -11,13 +11,14 @@ whose digits together end those of a base span (``min_suffix`` at least, leading
 zeros left out): a number counts as a whole, however it is spelled. Loopy belief propagation runs
 over all documents of a batch at once; tokens under base spans are observed. A
 token outside the base spans becomes a span when its belief for a kind reaches
-``belief`` and skip edges tie it to a base span of that kind in its document: so
-labels become consistent within a document, and documents without base spans
-stay as they are.
+``belief``, or ``belief_alone`` if it has no skip edge: so labels become
+consistent within a document, and what looks like an entity beyond doubt is
+found in documents without base spans as well.
 
 Weights are trained here by pseudo-likelihood on a bounded sample of documents
-with base labels; half of the labelled tokens hide which rule they met, so the
-field learns to label by shape and by its neighbours.
+labelled by the base rules; half of all tokens hide which rule they met, so the
+field learns to label by shape and by neighbours. Skip potentials keep close to
+``tie``, a prior.
 
 Defined cases: null text counts as empty: no spans. Very long texts are read
 whole. Repeated rows get the same spans. Ties in belief go to the kind listed
@@ -56,11 +57,16 @@ _DIGITS = re.compile(r"[0-9]")
 @dataclass(frozen=True)
 class Options:
     belief: float = 0.9
+    #: For tokens without skip edges, of which only shape and neighbours tell.
+    belief_alone: float = 0.99
     rounds: int = 6
     damping: float = 0.3
     #: Documents the weights are fitted on (bounded sample; smallest hashes first).
     sample: int = 400
     min_digits: int = 5
+    #: Prior of the skip potential between equal labels; repeats are too rare in a
+    #: sample to learn it from nothing.
+    tie: float = 6.0
     #: Digits by which a number without its first ones is known again.
     min_suffix: int = 7
 
@@ -127,7 +133,8 @@ def skip_key(token: str, options: Options) -> str:
 
 def features(token: str) -> list[int]:
     """Indices of a token's shape features: one of each group."""
-    n = len(_DIGITS.findall(token))
+    digits = "".join(_DIGITS.findall(token))
+    n = len(digits)
     size = next(i for i, top in enumerate((0, 2, 4, 6, 8, 11, 13, 15, 16, 19, 10**9)) if n <= top)
     letters = sum(c.isalpha() for c in token)
     return [
@@ -136,10 +143,12 @@ def features(token: str) -> list[int]:
         16 + min(token.count("-"), 3),
         20 + (letters > 0) + (letters > n),
         23 + min(len(token) // 6, 5),
+        29 + (1 + luhn(digits) if 12 <= n <= 19 else 0),
+        32 + ("@" in token) + 2 * (token[:1] == "+"),
     ]
 
 
-SHAPES = 29
+SHAPES = 36
 #: Then: which rule the token met (or none, or hidden).
 N_FEATURES = SHAPES + len(LABELS) + 1
 
@@ -232,7 +241,7 @@ def train(texts: list[str], options: Options = Options(), steps: int = 300) -> F
             linked.setdefault(i, []).append(j)
             linked.setdefault(j, []).append(i)
         for i, (a, b, label, _) in enumerate(found):
-            rule = SHAPES + (len(LABELS) if label and (a + i) % 2 else label)
+            rule = SHAPES + (len(LABELS) if (a + i) % 2 else label)
             x_rows.append([*features(text[a:b]), rule])
             y.append(label)
             left.append(found[before[i]][2] if i in before else -1)
@@ -241,7 +250,8 @@ def train(texts: list[str], options: Options = Options(), steps: int = 300) -> F
             for j in linked.get(i, []):
                 counts[found[j][2]] += 1
             others.append(counts)
-    unary, chain_w, skip_w = np.zeros((N_FEATURES, size)), np.zeros((size, size)), np.eye(size)
+    unary, chain_w, prior = np.zeros((N_FEATURES, size)), np.zeros((size, size)), options.tie * np.eye(size)
+    skip_w = prior.copy()
     if not y:
         return Field(unary, chain_w, skip_w)
     x, y_, others_ = np.array(x_rows), np.array(y), np.array(others)
@@ -266,7 +276,7 @@ def train(texts: list[str], options: Options = Options(), steps: int = 300) -> F
         np.add.at(down, right_[has_r], error[has_r])
         chain_w += 4 * (up + down.T) - 1e-4 * chain_w
         pull = others_.T @ error
-        skip_w += 4 * (pull + pull.T) / 2 - 1e-4 * skip_w
+        skip_w += 4 * (pull + pull.T) / 2 - 1e-2 * (skip_w - prior)
     return Field(unary, chain_w, skip_w)
 
 
@@ -299,18 +309,10 @@ def beliefs(field: Field, scores: np.ndarray, chain: np.ndarray, skip: np.ndarra
 def consistent_spans(field: Field, docs: list[tuple[str, list[Span]]], options: Options = Options()) -> list[list[Span]]:
     """The spans that the field adds to each document's base spans."""
     added: list[list[Span]] = [[] for _ in docs]
-    scores, chain, skip, where, group = [], [], [], [], []
+    scores, chain, skip, where = [], [], [], []
+    tied: set[int] = set()
     for d, (text, base) in enumerate(docs):
-        if not base:
-            continue
         found = nodes(text, base, options)
-        kinds: dict[str, set[int]] = {}
-        for _, _, label, keys in found:
-            for key in keys:
-                kinds.setdefault(key, set()).add(label)
-        # Without a token that shares a key with a base span nothing can be added.
-        if not any(0 in s and len(s) > 1 for s in kinds.values()):
-            continue
         links, far = edges(found)
         first = len(scores)
         chain += [(i + first, j + first) for i, j in links]
@@ -321,13 +323,13 @@ def consistent_spans(field: Field, docs: list[tuple[str, list[Span]]], options:
                 row = np.where(np.arange(len(LABELS)) == label, 0.0, -50.0)
             scores.append(row)
             where.append((d, a, b, label))
-            group.append(set().union(*(kinds[key] for key in keys)))
+        tied.update(first + i for pair in far for i in pair)
     if not scores:
         return added
     p = beliefs(field, np.array(scores), np.array(chain, np.int64), np.array(skip, np.int64), options)
-    for (d, a, b, label), tied, belief in zip(where, group, p):
+    for i, ((d, a, b, label), belief) in enumerate(zip(where, p)):
         best = int(belief.argmax())
-        if label or not best or belief[best] < options.belief or best not in tied:
+        if label or not best or belief[best] < (options.belief if i in tied else options.belief_alone):
             continue
         text = docs[d][0]
         while a < b and not (text[a].isalnum() or text[a] in "+@"):
@@ -357,9 +359,18 @@ def _find(field: Field, options: Options):
 
 
 def fit(docs: DataFrame, options: Options = Options()) -> Field:
-    rows = common.texts(docs).where(F.col("text").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(options.sample).select("text").collect()
-    return train([r["text"] for r in sample], options)
+    """Weights from the ``sample`` documents with a digit or at sign whose hashes are smallest.
+
+    Only the documents whose hash is under a threshold are sorted: about twice the
+    sample, however many partitions there are. Hashes go to the driver first, and
+    then the chosen texts."""
+    top = 1 << 40
+    rows = common.texts(docs).where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(top)).alias("h"))
+    n = rows.count()
+    rows = rows.where(F.col("h") < int(min(1.0, 2 * options.sample / max(n, 1)) * top))
+    chosen = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(options.sample).collect()]
+    found = rows.where(F.col("h").isin(chosen)).distinct().collect() if chosen else []  # of equal hashes all, hardly ever two
+    return train([r["text"] for r in sorted(found, key=lambda r: (r["h"], r["text"]))], options)
 
 
 def find(docs: DataFrame, options: Options = Options()) -> DataFrame:
