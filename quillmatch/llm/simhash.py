@@ -243,7 +243,10 @@ def links(nodes: DataFrame, limit: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within ``limit`` bits."""
     if limit > 4:
         raise ValueError("the segments and the code's radius hold for up to 4 bits")
-    keyed = nodes.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    # Distinct values are few and small, so their partitions are merged into one or
+    # two; dealt out evenly again, as each of them becomes 81 keys.
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.select("fp").repartition(width).mapInArrow(_emit_keys, "key long, fp long")
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(chunk, limit), "kind int, key long, a long, b long")
     met = common.materialize(met, "links")
     found = met.where("kind = 0").select("a", "b")
@@ -266,27 +269,50 @@ def _chunk_pair_arrow(limit: int):
     return work
 
 
-def _grouped(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, fp, th and root, the smallest fingerprint of the component."""
+def _joined_by(rows: DataFrame, key: str, side: DataFrame, side_key: str) -> DataFrame:
+    """rows joined with one row of ``side`` a key. A key may hold a third of the rows:
+    the side is written first, so that both inputs of the join come straight from a
+    shuffle and adaptive execution can split a partition that one key fills."""
+    side = common.materialize(side.withColumnRenamed(side_key, "_key"), "side")
+    return rows.join(side.hint("merge"), F.col(key) == F.col("_key")).drop("_key")
+
+
+def _grouped(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp and th of all rows; root, node: the component's smallest fingerprint
+    for each fingerprint, also for those without links)."""
     rows = common.materialize(fingerprints(docs), "fingerprints")
-    root = graph.components(links(rows.select("fp").distinct(), limit))
-    return rows.join(root, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "th", F.coalesce("root", "fp").alias("root"))
+    nodes = common.materialize(rows.select("fp").distinct(), "nodes")
+    root = graph.components(links(nodes, limit)).select(F.col("node").alias("n"), "root")
+    every = nodes.join(root, F.col("fp") == F.col("n"), "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+    return rows, common.materialize(every, "roots")
+
+
+def _first_of(rows: DataFrame, roots: DataFrame, value) -> DataFrame:
+    """node and first, the smallest value of its component: per fingerprint first, so
+    that copies are summed up where they lie and a component's rows are its fingerprints."""
+    each = rows.groupBy(F.col("fp").alias("f")).agg(F.min(value).alias("v")).join(roots, F.col("f") == F.col("node"))
+    least = each.groupBy(F.col("root").alias("r")).agg(F.min("v").alias("first"))
+    # Roots are hot where a component has many fingerprints; the least is one row each.
+    return _joined_by(roots, "root", least, "r").select("node", "first")
 
 
 def clusters(docs: DataFrame, limit: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id that links reach."""
-    rows = common.materialize(_grouped(docs, limit), "grouped")
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
-    return rows.join(first, F.col("root") == F.col("r")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    rows, roots = _grouped(docs, limit)
+    first = _first_of(rows, roots, F.col("doc_id"))
+    return _joined_by(rows, "fp", first, "node").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, limit: int = 4) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the
-    smallest doc_id (then text hash) stays, once."""
-    rows = common.materialize(_grouped(docs, limit), "grouped")
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
+    smallest doc_id (then text hash) stays, once; a row without doc_id only where
+    the component has no other."""
+    rows, roots = _grouped(docs, limit)
+    # A struct's minimum puts nulls first, so whether doc_id is null stands before it.
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")
+    first = _first_of(rows, roots, order).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")).distinct()
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["_id"]) & (text == first["_th"]), "left_semi")
     if rows.count() != rows.select("doc_id", "th").distinct().count():

@@ -167,6 +167,12 @@ def test_keep_one(docs):
     assert kept.count(5) == 1 and 6 not in kept and 7 in kept and set(simhash.keep_one(docs).columns) == set(docs.columns)
 
 
+def test_keep_one_prefers_rows_with_an_id(spark):
+    docs = spark.createDataFrame([(None, prose(50, 1), "en", "s", 0), (3, prose(50, 1), "en", "s", 0), (2, prose(50, 1), "en", "s", 0), (None, prose(50, 2), "en", "s", 0), (None, prose(50, 2), "en", "s", 0)], SCHEMA)
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect()) == ["2", "None"]
+    assert sorted(str(r["component_id"]) for r in simhash.clusters(docs).collect()) == ["2", "2", "2", "None", "None"]
+
+
 # 7: decontamination
 
 ITEM = "How many apples does Maria carry home if she buys 12 apples and Peter gives her 7 apples and then 12 more fall on the road"
