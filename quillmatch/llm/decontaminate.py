@@ -22,13 +22,16 @@ words, or all windows short of plain words) leak where all their words stand in
 a row with their own values; signs that stand alone count as words there, as
 the signs of a formula do.
 
-The benchmark's window hashes are the stated query set. They are met with all
-documents in blocks of ``block`` hashes: a row keeps only the windows that are
-in the block, so no text is shuffled.
+One scan of the documents serves a benchmark of any size: a table of flags
+(``flags`` a window, 16 MB at most) lets a row keep the windows that may be of
+the benchmark, and these are hash-joined with it, so no text is shuffled.
+
+Two values of an item may stand for one value of the document ("12 and 7" asked
+again as "9 and 9"), but not one value for two.
 
 Defined cases: null texts count as empty and leak nothing; ties do not arise, as
 every leaked item is reported. Repeated rows of one doc_id are counted together.
-Repeated benchmark items are reported each. Empty tables give an empty result
+Repeated benchmark items are reported each. Very long texts are read whole. Empty tables give an empty result
 (an empty benchmark leaves all documents). Other columns are passed through by
 ``clean`` and not read.
 """
@@ -66,7 +69,8 @@ class Options:
     coverage: float = 0.5
     #: Words of a verbatim excerpt that leaks by itself.
     run: int = 13
-    block: int = 50_000
+    #: Flags a window of the benchmark; fewer only make more windows go to the join.
+    flags: int = 16
     #: Benchmarks with more windows are joined by a shuffle instead of a broadcast.
     broadcast_windows: int = 200_000
 
@@ -160,41 +164,61 @@ def _whole_items(benchmark: DataFrame, windows: DataFrame, options: Options) ->
 
 def _whole_leaks(docs: DataFrame, items: DataFrame, options: Options) -> DataFrame | None:
     """doc_id and item_id where a document holds all words of an item without a window."""
-    pairs = sorted({(r["size"], r["hash"]) for r in items.select("size", "hash").distinct().collect()})
-    if not pairs:
+    wanted = _wanted(items, options)
+    if wanted is None:
         return None
     longest = items.agg(F.max(F.size("literal"))).first()[0]
-    side = F.broadcast(items) if len(pairs) <= options.broadcast_windows else items
-    found = None
-    for k in range(0, len(pairs), options.block):
-        wanted: dict[int, list[int]] = {}
-        for size, value in pairs[k : k + options.block]:
-            wanted.setdefault(size, []).append(value)
-        df = _literal(common.texts(docs)).withColumn("wh", F.transform("literal", lambda w: F.xxhash64(w)))
-        df = _met(df, wanted).select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.slice("literal", F.col("met.i") + 1, longest).alias("here"))
-        met = df.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.slice("here", F.lit(1), F.size("literal")) == F.col("literal"))).select("doc_id", "item_id")
-        found = met if found is None else found.unionByName(met)
-    return found.distinct()
-
-
-def _met(df: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
-    """Drops wh, the words' hashes, and adds met: h, i and n of each window whose
-    hash is wanted for its size, a row each."""
-
-    def met_of(size: int, hashes: list[int]) -> Column:
+    side = F.broadcast(items) if wanted.few else items
+    df = _literal(common.texts(docs)).withColumn("wh", F.transform("literal", lambda w: F.xxhash64(w)))
+    df = _met(df, wanted).select("doc_id", F.col("met.h").alias("h"), F.col("met.n").alias("doc_size"), F.slice("literal", F.col("met.i") + 1, longest).alias("here"))
+    met = df.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.slice("here", F.lit(1), F.size("literal")) == F.col("literal")))
+    return met.select("doc_id", "item_id").distinct()
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Sizes of the windows asked for, and a flag for each remainder of their hashes."""
+
+    sizes: tuple[int, ...]
+    flags: bytes
+    few: bool
+
+    def may_hold(self, h: Column) -> Column:
+        at = F.pmod(h, F.lit(len(self.flags))).cast("int") + 1
+        return F.substring(F.lit(self.flags), at, F.lit(1)) == F.lit(b"\x01")
+
+
+def _wanted(windows: DataFrame, options: Options) -> Wanted | None:
+    """Only remainders reach the driver: at most as many as there are flags."""
+    sizes = tuple(sorted(r["size"] for r in windows.select("size").distinct().collect()))
+    if not sizes:
+        return None
+    n = windows.count()
+    total = 1 << min(24, max(12, (options.flags * n - 1).bit_length()))
+    flags = bytearray(total)
+    for batch in windows.select(F.pmod("hash", F.lit(total)).cast("int").alias("k")).distinct().toArrow().to_batches():
+        for k in batch.column(0).to_pylist():
+            flags[k] = 1
+    return Wanted(sizes, bytes(flags), n <= options.broadcast_windows)
+
+
+def _met(df: DataFrame, wanted: Wanted) -> DataFrame:
+    """Drops wh, the words' hashes, and adds met: h, i and n of each window that may
+    be wanted, a row each; the join decides."""
+
+    def met_of(size: int) -> Column:
         marked = F.transform(_window_hashes("wh", size), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.lit(size).alias("n")))
-        return F.coalesce(F.filter(marked, lambda x: x["h"].isin(hashes)), F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+        return F.coalesce(F.filter(marked, lambda x: wanted.may_hold(x["h"])), F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
 
-    found = [met_of(size, hashes) for size, hashes in sorted(wanted.items())]
     # A condition that isn't deterministic keeps the filter below from being
     # pushed down, which would copy the whole chain of expressions into it.
-    df = df.withColumn("met", F.when(F.monotonically_increasing_id() >= 0, F.concat(*found)))
+    df = df.withColumn("met", F.when(F.monotonically_increasing_id() >= 0, F.concat(*map(met_of, wanted.sizes))))
     return df.drop("wh").where(F.size("met") > 0).withColumn("met", F.explode("met"))
 
 
-def _hits(docs: DataFrame, wanted: dict[int, list[int]], names: list[str]) -> DataFrame:
+def _hits(docs: DataFrame, wanted: Wanted, names: list[str]) -> DataFrame:
     """doc_id, h, size, doc_at, doc_shape and doc_plain of the documents' windows
-    whose hash is wanted for their size: one scan for all sizes."""
+    that may be wanted: one scan for all sizes."""
     df = _tokens(common.texts(docs), names).withColumn("wh", F.transform("shape", lambda w: F.xxhash64(w)))
     df = _met(df, wanted)
     cut = lambda c: F.slice(c, F.col("met.i") + 1, F.col("met.n"))
@@ -216,24 +240,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options = Options()) -
     for word) of every leaked item."""
     names = benchmark_names(benchmark)
     windows = common.materialize(benchmark_windows(benchmark, names, options), "benchmark")
-    # The benchmark is the query set; its hashes go to the scan in blocks.
     whole = _whole_leaks(docs, common.materialize(_whole_items(benchmark, windows, options), "benchmark-whole"), options)
     one = F.lit(1).cast("long")
     whole = whole.withColumns({"n_windows": one, "item_windows": one, "n_exact": one}) if whole is not None else None
-    pairs = sorted({(r["size"], r["hash"]) for r in windows.select("size", "hash").distinct().collect()})
-    side = F.broadcast(windows) if len(pairs) <= options.broadcast_windows else windows
-    found = None
-    for k in range(0, len(pairs), options.block):
-        wanted: dict[int, list[int]] = {}
-        for size, value in pairs[k : k + options.block]:
-            wanted.setdefault(size, []).append(value)
+    wanted, found = _wanted(windows, options), None
+    if wanted is not None:
         hits = _hits(docs, wanted, names)
+        side = F.broadcast(windows) if wanted.few else windows
         met = hits.join(side, (F.col("h") == F.col("hash")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_shape") == F.col("shape")))
-        met = met.select(
+        found = met.select(
             "doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("offset"), (F.col("doc_plain") == F.col("plain")).alias("exact"), "size",
             F.filter(F.zip_with(F.arrays_zip("shape", "plain"), "doc_plain", lambda a, b: F.struct(a["shape"].alias("shape"), a["plain"].alias("item"), b.alias("doc"))), lambda x: x["shape"].startswith("<")).alias("slots"),
         )
-        found = met if found is None else found.unionByName(met)
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     if found is None and whole is not None:
         return whole

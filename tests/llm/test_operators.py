@@ -191,7 +191,7 @@ def test_decontamination(spark):
     assert found == {(1, 0), (2, 0), (7, 0), (8, 3), (10, 0)}
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 5, 6, 9}
     assert decontaminate.clean(docs, bench.limit(0)).count() == 10
-    small = decontaminate.Options(block=3)
+    small = decontaminate.Options(flags=1, broadcast_windows=1)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, small).collect()} == found
 
 
@@ -207,7 +207,7 @@ def test_decontamination_of_short_items(spark):
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + rows[:1]], SCHEMA)
     expected = [(1, 0), (3, 1), (5, 2), (7, 3), (9, 6), (12, 7)]
-    for options in (decontaminate.Options(), decontaminate.Options(block=1)):
+    for options in (decontaminate.Options(), decontaminate.Options(flags=1, broadcast_windows=1)):
         assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, options).collect()) == expected
     few = bench.where("item_id in (1, 2)")  # no item with a window
     assert {r["doc_id"] for r in decontaminate.clean(docs, few).collect()} == {1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13}
