@@ -306,20 +306,16 @@ def test_language_model(docs):
 
 
 def plain_symbols(text):
-    out = []
-    for byte in (" ".join(words(lower(text))) + (" \n" if words(text) else "\n")).encode():
-        at = lm.LISTED.find(byte)
-        out += [at + 1] if at >= 0 else [60 + (byte >> 6), byte & 63]
-    return out
+    return (" ".join(words(lower(text))) + (" \n" if words(text) else "\n")).encode()
 
 
-def plain_slots(s, i, bit, table_bits):
-    """Slots of all predictors for a bit of symbol i, one symbol and one step at a time."""
+def plain_slots(s, i, depth, table_bits):
+    """Slots of all predictors for a bit of byte i, one byte and one step at a time."""
     m32, m64 = (1 << 32) - 1, (1 << 64) - 1
     back = [s[i - k] if i >= k else 0 for k in range(1, 7)]
 
     def begin(j):
-        while j > 0 and s[j - 1] > 2:
+        while j > 0 and s[j - 1] > 32:
             j -= 1
         return j
 
@@ -328,14 +324,21 @@ def plain_slots(s, i, bit, table_bits):
 
     j = begin(i)
     so_far, before = word(j, i), word(begin(j - 1), j - 1) if j else 0
-    two = back[0] | back[1] << 6
-    four = two | back[2] << 12 | back[3] << 18
-    six = (four * 0x85EBCA77 + (back[4] | back[5] << 6) * 0xC2B2AE3D + 1) & m32
+    two = back[0] | back[1] << 8
+    four = two | back[2] << 16 | back[3] << 24
+    six = (four * 0x85EBCA77 + (back[4] | back[5] << 8) * 0xC2B2AE3D + 1) & m32
     one_word = (so_far + 77) * int(lm._MIX) & m64
     both = (one_word ^ (before + 5) * lm._POWER & m64) * int(lm._MIX) & m64
-    node = 1 << bit | s[i] >> 6 - bit
-    hashed = [four * 0x9E3779B1, (six ^ six >> 15) * 0x9E3779B1, one_word >> 32, both >> 32]
-    return [back[0] << 6 | node, two << 6 | node, *((h + int(lm._NODE[node]) & m32) >> 32 - table_bits for h in hashed)]
+    node = int(lm.NODES[depth, s[i]])
+    hashed = [(two + 1) * 0x9E3779B1, (four ^ four >> 15) * 0x9E3779B1, (six ^ six >> 15) * 0x9E3779B1, one_word >> 32, both >> 32]
+    return [back[0] << 8 | node, *((h + int(lm._NODE[node]) & m32) >> 32 - table_bits for h in hashed)]
+
+
+def test_byte_tree():
+    """Each byte has a way of its own, frequent bytes a short one, and nodes fit a byte."""
+    ways = {tuple(map(int, lm.PLACE_BITS[: lm.DEPTHS[b], b])) for b in range(256)}
+    assert len(ways) == 256 and not any(a[:k] in ways for a in ways for k in range(1, len(a)))
+    assert sum(2.0 ** -len(w) for w in ways) == 1.0 and lm.DEPTHS[32] == min(lm.DEPTHS)
 
 
 LM_TEXTS = ["the river runs to the sea", "the sea is wide, the river is long; Über 42 ÑANDÚ", "", "x", "a river a river a river", "the stone", None, "  the\triver\nruns  "]
@@ -349,9 +352,10 @@ def test_language_model_against_brute_force():
     counts = collections.defaultdict(lambda: [0, 0])
     for t in LM_TEXTS:
         s = plain_symbols(t)
-        for i, b in itertools.product(range(len(s)), range(6)):
-            for k, slot in enumerate(plain_slots(s, i, b, 16)):
-                counts[k, slot][s[i] >> 5 - b & 1] += 1
+        for i in range(len(s)):
+            for d in range(lm.DEPTHS[s[i]]):
+                for k, slot in enumerate(plain_slots(s, i, d, 16)):
+                    counts[k, slot][lm.PLACE_BITS[d, s[i]]] += 1
     _, begins = lm.layout(16)
     table = np.zeros((begins[-1], 2), np.int32)
     lm.count_bits(table, texts, options, known)
@@ -365,19 +369,21 @@ def test_language_model_against_brute_force():
         s, expected = plain_symbols(t), 0.0
         for i in range(len(s)):
             seen = sum(counts.get((k, slot), [0, 0]) != [0, 0] for k, slot in enumerate(plain_slots(s, i, 0, 16)) if k >= 3)
-            for b in range(6):
-                pairs = [counts.get((k, slot), [0, 0]) for k, slot in enumerate(plain_slots(s, i, b, 16))]
-                x = [np.round(16 * math.log((p[1] + 0.4) / (p[0] + 0.4))) / 16 for p in pairs]
-                mixed = min(max(sum(w * v for w, v in zip(model.weights[seen, b].tolist(), x)), -7.99), 7.99)
-                p = (1 / (1 + math.exp(-mixed)) + float(model.map[seen, b, int((mixed + 8) * 4)])) / 2
-                expected += math.log10(p if s[i] >> 5 - b & 1 else 1 - p)
+            for d in range(lm.DEPTHS[s[i]]):
+                pairs, place = [counts.get((k, slot), [0, 0]) for k, slot in enumerate(plain_slots(s, i, d, 16))], min(d, 7)
+                mixed = np.float32(0)  # single precision, as a step of the map may lie between
+                for w, p in zip(model.weights[seen, place], pairs):
+                    mixed += np.float32(np.round(16 * math.log((p[1] + 0.4) / (p[0] + 0.4)))) * (w / np.float32(16))
+                mixed = min(max(mixed, np.float32(-7.99)), np.float32(7.99))
+                p = (1 / (1 + math.exp(-mixed)) + float(model.map[seen, place, int((mixed + np.float32(8)) * np.float32(4))])) / 2
+                expected += math.log10(p if lm.PLACE_BITS[d, s[i]] else 1 - p)
         assert total == pytest.approx(expected, rel=1e-3)
     small = lm.Options(table_bits=16, window=16, overlap=64)
     assert np.array_equal(lm.spell(model, lm.Stream(texts), small, lm._known(small)), lm.spell(model, stream, options, known))
 
 
 def test_language_model_is_a_distribution():
-    """The probabilities of all symbols in a place sum to one."""
+    """The probabilities of all bytes in a place sum to one."""
     texts = pa.array(["the then thing stone the the"] * 20)
     options = lm.Options(table_bits=16)
     known = lm._known(options)
@@ -386,10 +392,10 @@ def test_language_model_is_a_distribution():
     lm.count_bits(table, texts, options, known)
     model = lm.first_model(lm.paired(table.astype(np.int64)))
     model = lm.learned(model, lm.slopes(model, texts, options, known), False)
-    stream = lm.Stream(pa.array(["th"] * 64))
+    stream = lm.Stream(pa.array(["th"] * 256))
     at = stream.token_ends[::2] - 1  # the place of the "h"
-    stream.symbols[at] = np.arange(64)
-    # A gate looks at the symbol's contexts only, so one symbol's gate holds for all.
+    stream.symbols[at] = np.arange(256)
+    # A gate looks at the byte's contexts only, so one gate holds for all of them.
     assert (10.0 ** lm.spell(model, stream, options, known)[at].astype(float)).sum() == pytest.approx(1.0, abs=1e-3)
 
 
