@@ -50,6 +50,22 @@ def rolling_mean(df: DataFrame, order: str, value: str, size: int = 20, partitio
     return df.withColumn("rolling_mean", F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
 
 
+def linear_trend(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """slope and intercept of the least-squares line, for each key; null without two different x."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    s = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"))
+    wide = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(wide != 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / wide)
+    return s.select(*keys, slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
+
+
+def power_trend(df: DataFrame, x: str, y: str, power: int, *keys: str) -> DataFrame:
+    """factor of the least-squares fit y = factor * x ** power, for each key."""
+    a = F.pow(F.col(x).cast("double"), F.lit(power))
+    s = df.groupBy(*keys).agg(F.sum(a * a).alias("_s"), F.sum(a * F.col(y).cast("double")).alias("_t"))
+    return s.select(*keys, F.when(F.col("_s") != 0, F.col("_t") / F.col("_s")).alias("factor"))
+
+
 def trend(df: DataFrame, x: str, y: str, degree: int = 1) -> list[float]:
     """Least-squares polynomial, the highest power first, from sums of powers: one
     pass over the rows, then a small system on the driver."""

@@ -11,10 +11,10 @@ from ..schema import DEFAULT_MAX_DEPTH, DEFAULT_NGRAMS, DEFAULT_THRESHOLD, DEFAU
 SIDE = ("filepath", "modify_date", "sha256", "head_nodes", "tokens", "operators", "keywords", "literals", "structure")
 
 
-def fast_metrics(n: int = DEFAULT_NGRAMS, weights=DEFAULT_WEIGHTS, a: str = "a", b: str = "b") -> dict[str, Column]:
-    """The four metrics of two feature structs, as expressions."""
+def fast_metrics(n: int = DEFAULT_NGRAMS, weights=DEFAULT_WEIGHTS, a: str = "a", b: str = "b", jakkar: Column | None = None) -> dict[str, Column]:
+    """The four metrics of two feature structs, as expressions; ``jakkar`` if it is known already."""
     return {
-        "jakkar": grams.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens"), n),
+        "jakkar": jakkar if jakkar is not None else grams.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens"), n),
         **{c: counters.counter_metric(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("operators", "keywords", "literals")},
     }
 
@@ -26,9 +26,15 @@ def with_sides(pairs: DataFrame, features: DataFrame, columns=SIDE) -> DataFrame
     return pairs.join(a, F.col("first") == F.col("_p1")).join(b, F.col("second") == F.col("_p2")).drop("_p1", "_p2")
 
 
+def side_columns(pairs: DataFrame, columns) -> tuple[str, ...]:
+    """The columns without the tokens, where the pairs have jakkar."""
+    return tuple(c for c in columns if c != "tokens" or "jakkar" not in pairs.columns)
+
+
 def fast_compare(sides: DataFrame, n: int = DEFAULT_NGRAMS, weights=DEFAULT_WEIGHTS) -> DataFrame:
-    """Adds the struct ``fast``."""
-    metrics = fast_metrics(n, weights)
+    """Adds the struct ``fast``. A column jakkar is taken as it is: the search for
+    candidates has counted the common n-grams, and tokens need not be joined again."""
+    metrics = fast_metrics(n, weights, jakkar=F.col("jakkar") if "jakkar" in sides.columns else None)
     out = sides.withColumns(metrics)
     out = out.withColumn("weighted_average", counters.weighted_average(list(metrics), weights))
     return out.withColumn("fast", F.struct(*metrics, "weighted_average")).drop(*metrics, "weighted_average")
@@ -51,7 +57,7 @@ def compare_pairs(
     """compare_info rows of the pairs at or above the threshold.
 
     The threshold filters on the fast metrics before any tree is compared."""
-    fast = fast_compare(with_sides(pairs, features), n, weights)
+    fast = fast_compare(with_sides(pairs, features, side_columns(pairs, SIDE)), n, weights)
     kept = fast.where(passes(threshold, F.col("fast.weighted_average")))
     done = struct_compare(kept.repartition("first", "second"), max_depth)
     return done.select(

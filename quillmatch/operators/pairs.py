@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.counters import least_jaccard
@@ -21,10 +21,14 @@ from ..schema import DEFAULT_NGRAMS, DEFAULT_WEIGHTS, MODES
 SLACK = 1e-9
 
 
-def iterations(count: int, mode: str) -> int:
+def iterations(count: int | Column, mode: str) -> int | Column:
     """Comparisons of ``count`` works (many_to_many) or collections (one_to_one)."""
     if mode not in MODES:
         raise ValueError(f"the mode must be one of {MODES}")
+    if isinstance(count, Column):
+        n = count.cast("long")
+        # One of the factors is even; halved first, so that the product fits wherever the result does.
+        return F.when(n < 2, F.lit(0).cast("long")).when(n % 2 == 0, (n / 2).cast("long") * (n - 1)).otherwise(n * ((n - 1) / 2).cast("long"))
     return comb(count, 2) if count > 1 else 0
 
 
@@ -76,10 +80,19 @@ def all_pairs(features: DataFrame, mode: str = "many_to_many") -> DataFrame:
     return a.join(b, on).select("first", "second")
 
 
-def candidates(features: DataFrame, threshold: int | None, n: int = DEFAULT_NGRAMS, mode: str = "many_to_many", weights=DEFAULT_WEIGHTS) -> DataFrame:
-    """(first, second) in order of path: every pair that can reach the threshold."""
+def scored_candidates(features: DataFrame, threshold: int | None, n: int = DEFAULT_NGRAMS, mode: str = "many_to_many", weights=DEFAULT_WEIGHTS) -> DataFrame:
+    """(first, second) in order of path: every pair that can reach the threshold; with
+    jakkar, their Jaccard coefficient, where the search has counted it."""
     if mode not in MODES:
         raise ValueError(f"the mode must be one of {MODES}")
     least = least_jaccard(threshold, weights) if threshold else 0.0
-    found = shared_grams(features, least, n, mode) if least > SLACK else all_pairs(features, mode)
-    return found.select(F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")).distinct()
+    ordered = [F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")]
+    if least <= SLACK:
+        return all_pairs(features, mode).select(*ordered).distinct()
+    jakkar = F.col("n_common").cast("double") / (F.col("n_first") + F.col("n_second") - F.col("n_common"))
+    return shared_grams(features, least, n, mode).select(*ordered, jakkar.alias("jakkar")).distinct()
+
+
+def candidates(features: DataFrame, threshold: int | None, n: int = DEFAULT_NGRAMS, mode: str = "many_to_many", weights=DEFAULT_WEIGHTS) -> DataFrame:
+    """(first, second) of :func:`scored_candidates`."""
+    return scored_candidates(features, threshold, n, mode, weights).select("first", "second")

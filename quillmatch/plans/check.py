@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, extract, pairs
@@ -32,6 +32,11 @@ class Outcome:
         return self.found if short_output == 1 or self.cached is None else self.found.unionByName(self.cached)
 
 
+def exit_code(found: Column) -> Column:
+    """The exit code of many results: that of a find if there is any (an aggregate)."""
+    return F.coalesce(F.bit_or(F.when(found, int(ExitCode.FOUND_SIMILAR)).otherwise(int(ExitCode.SUCCESS))), F.lit(int(ExitCode.SUCCESS)))
+
+
 class WorksComparator:
     def __init__(
         self, spark: SparkSession, extension: str, mode: str = "many_to_many", threshold: int | None = DEFAULT_THRESHOLD, ngrams_length: int = DEFAULT_NGRAMS,
@@ -81,7 +86,7 @@ class WorksComparator:
         """Compare all pairs, batch by batch: what a batch finds is stored before the
         next one begins, so a run that dies loses one batch at most, and the next
         run takes the rest up from there."""
-        candidates = pairs.candidates(features, self.threshold, self.n, self.mode, self.weights)
+        candidates = pairs.scored_candidates(features, self.threshold, self.n, self.mode, self.weights)
         cached = None
         if self.results is not None:
             cached, candidates = split_cached_pairs(candidates, features, self.results.read())
@@ -90,17 +95,18 @@ class WorksComparator:
         if self.results is not None or self.csv_report:
             candidates = candidates.persist()
             batches = max(1, -(-candidates.count() // self.flush_pairs))
-        found, n = None, cached.count() if cached is not None else 0
+        code = exit_code(F.lit(True))
+        found, codes = None, cached.agg(code).first()[0] if cached is not None else int(ExitCode.SUCCESS)
         for k in range(batches):
             some = candidates if batches == 1 else candidates.where(F.pmod(F.xxhash64("first", "second"), F.lit(batches)) == k)
             part = compare.compare_pairs(some, features, self.threshold, self.n, self.max_depth, self.weights).persist()
-            new = part.count()
+            new = part.agg(code).first()[0]
             if new and self.results is not None:
                 self.results.upsert(part)
             if new and self.csv_report:
                 upsert_csv(self.spark, self.csv_report, part)
-            found, n = part if found is None else found.unionByName(part), n + new
-        return Outcome(found, cached, ExitCode.FOUND_SIMILAR if n else ExitCode.SUCCESS)
+            found, codes = part if found is None else found.unionByName(part), codes | new
+        return Outcome(found, cached, codes)
 
     def check(self, files: Sequence[str] = (), directories: Sequence[str] = (), github_user: str = "", github_urls: Sequence[str] = ()) -> Outcome | None:
         """Compare all works of the sources; None if there are no sources."""

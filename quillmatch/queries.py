@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import counters, grams, sequence, survey, text, tree
 from .operators import compare, extract, pairs, python_source, report
-from .sources import store
+from .plans import check
+from .sources import files, store
 
 MARKS = list(".,;:!?")
 FUNCTION_WORDS = "the of and to in a is that it for on was as with be by are this at from".split()
@@ -113,8 +114,8 @@ def doc_counter_literals(spark, sf_dir):
 
 
 def _compared(features: DataFrame, threshold: int | None, n: int = 3, weights=counters.DEFAULT_WEIGHTS, mode: str = "many_to_many") -> DataFrame:
-    found = pairs.candidates(features, threshold, n, mode, weights)
-    sides = compare.with_sides(found, features, ("tokens", "operators", "keywords", "literals"))
+    found = pairs.scored_candidates(features, threshold, n, mode, weights)
+    sides = compare.with_sides(found, features, compare.side_columns(found, ("tokens", "operators", "keywords", "literals")))
     done = compare.fast_compare(sides, n, weights)
     return _ids(done.where(compare.passes(threshold, F.col("fast.weighted_average"))), "fast.*")
 
@@ -155,7 +156,7 @@ def imprints(spark, sf_dir):
 def levenshtein_names(spark, sf_dir):
     names = _table(spark, sf_dir, "nation").select("n_name")
     both = names.select(F.col("n_name").alias("a")).join(names.select(F.col("n_name").alias("b")), F.col("a") < F.col("b"))
-    d = F.levenshtein("a", "b")
+    d = sequence.levenshtein_udf()("a", "b")
     return both.select("a", "b", d.cast("bigint").alias("distance"), (1 - d.cast("double") / F.greatest(F.length("a"), F.length("b"))).alias("similarity"))
 
 
@@ -218,15 +219,17 @@ def page_structure(spark, sf_dir):
     return f.select(F.col("filepath").cast("bigint").alias("page_id"), "sha256", F.col("count_of_nodes").cast("bigint").alias("n_nodes"), F.col("count_unodes").cast("bigint").alias("n_labels"), F.size(F.filter("structure", lambda x: x["depth"] <= 4)).cast("bigint").alias("n_upper"))
 
 
+def _page_key() -> Column:
+    return F.xxhash64("sha256", "tokens", *[F.sort_array(F.map_entries(c)) for c in ("operators", "keywords", "literals")])
+
+
 def page_struct_compare(spark, sf_dir):
     """Pages whose tags overlap by 90 percent, compared by structure; pages of equal
     structure and counters are one class, which the smallest page stands for."""
     f = _page_features(spark, sf_dir).persist()
-    same = F.xxhash64("sha256", "tokens", *[F.sort_array(F.map_entries(c)) for c in ("operators", "keywords", "literals")])
-    keyed = f.withColumn("key", same)
-    first = keyed.groupBy("key").agg(F.min("filepath").alias("filepath"), F.count("*").alias("class_size"))
+    first = f.withColumn("key", _page_key()).groupBy("key").agg(F.min("filepath").alias("filepath"))
     reps = f.join(first.select("filepath"), "filepath", "left_semi").persist()
-    found = pairs.candidates(reps, 90)
+    found = pairs.scored_candidates(reps, 90)
     done = compare.compare_pairs(found, reps, 90)
     return done.select(F.col("first_path").cast("bigint").alias("first_id"), F.col("second_path").cast("bigint").alias("second_id"), F.col("fast.weighted_average").alias("weighted_average"), F.col("structure.similarity").alias("similarity"))
 
@@ -321,13 +324,12 @@ def cache_hit_miss(spark, sf_dir):
 
 
 def exit_code_fold(spark, sf_dir):
-    code = F.when(F.col("l_quantity") >= 50, 200).otherwise(0)
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.bit_or(code).cast("bigint").alias("exit_code"))
+    code = check.exit_code(F.col("l_quantity") >= 50)
+    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(code.cast("bigint").alias("exit_code"))
 
 
 def calc_iterations(spark, sf_dir):
-    n = F.col("n")
-    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", F.when(n > 1, (n * (n - 1) / 2).cast("bigint")).otherwise(0).alias("iterations"))
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(pairs.iterations(F.count("*"), "many_to_many").alias("iterations"))
 
 
 def url_parse_pages(spark, sf_dir):
@@ -336,7 +338,8 @@ def url_parse_pages(spark, sf_dir):
 
 
 def path_filter(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").where(F.col("url").rlike("[0-9]+$|\\.html$")).select("page_id", "url")
+    """Pages whose file has an extension (or lies at the host) and whose address ends so."""
+    return _table(spark, sf_dir, "pages").where(files.accepts(F.concat("url", F.lit(".html")), None, "[0-9]+\\.html$")).select("page_id", "url")
 
 
 def text_lengths(spark, sf_dir):
@@ -351,11 +354,49 @@ def rolling_mean_20(spark, sf_dir):
 
 
 def trend_linear(spark, sf_dir):
-    """Slope of quantity by line number for each return flag, from whole sums."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("bigint").alias("x"), F.col("l_quantity").cast("bigint").alias("y"))
-    s = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    d = lambda c: F.col(c).cast("double")
-    return s.select("l_returnflag", ((d("n") * d("sxy") - d("sx") * d("sy")) / (d("n") * d("sxx") - d("sx") * d("sx"))).alias("slope"))
+    """Slope of quantity by line number for each return flag; sums of whole numbers are exact."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", F.col("l_quantity").cast("bigint").alias("l_quantity"))
+    return survey.linear_trend(rows, "l_linenumber", "l_quantity", "l_returnflag").select("l_returnflag", "slope")
+
+
+def trend_powers(spark, sf_dir):
+    """Factors of the fits by the second to fourth power alone, for each return flag."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", F.col("l_quantity").cast("bigint").alias("l_quantity"))
+    out = None
+    for power in (2, 3, 4):
+        part = survey.power_trend(rows, "l_linenumber", "l_quantity", power, "l_returnflag").withColumn("power", F.lit(power))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def same_heads_ties(spark, sf_dir):
+    """Lists of heads with ties, evictions and percents under the threshold."""
+    rows = spark.createDataFrame([
+        ("a", "b", ["f", "g", "h", "i", "j"], ["p", "q", "r", "s", "t"], ([
+            [[70, 100], [70, 100], [90, 100], [80, 100], [10, 100]],
+            [[70, 100], [70, 100], [70, 100], [70, 100], [70, 100]],
+            [[10, 100], [80, 100], [85, 100], [90, 100], [85, 100]],
+            [[10, 100], [12, 100], [12, 100], [70, 100], [11, 100]],
+            [[64, 100], [20, 100], [64, 100], [0, 100], [1, 100]],
+        ],)),
+    ], "first_path string, second_path string, first_heads array<string>, second_heads array<string>, structure struct<compliance_matrix:array<array<array<int>>>>")
+    return report.same_heads(rows).where("path = 'a'").select("head", "other_head", "percent", "rank")
+
+
+def page_classes(spark, sf_dir):
+    """Every page with the smallest page of equal structure and counters, which stands for it in page_struct_compare."""
+    keyed = _page_features(spark, sf_dir).select(F.col("filepath").cast("bigint").alias("page_id"), _page_key().alias("key"))
+    least = keyed.groupBy("key").agg(F.min("page_id").alias("class_id"), F.count("*").alias("class_size"))
+    return keyed.join(least, "key").select("page_id", "class_id", "class_size")
+
+
+def doc_source_classes(spark, sf_dir):
+    """Every document with the smallest one of its source that has the same words, which
+    stands for it in doc_jaccard_cross_source."""
+    keyed = _worded(_table(spark, sf_dir, "documents"), "doc_id", "source").select(F.col("id").alias("doc_id"), "source", _class_key("w").alias("key"))
+    least = keyed.groupBy("key", "source").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    same = (keyed["key"] == least["key"]) & keyed["source"].eqNullSafe(least["source"])
+    return keyed.join(least, same).select("doc_id", "class_id", "class_size")
 
 
 def dedup_keep_last(spark, sf_dir):
@@ -373,7 +414,7 @@ QUERIES = {f.__name__: f for f in (
     levenshtein_names, lcs_neighbours, lcs_golden, gst_neighbours, op_shift_users, benchmark_structure, doc_unique_nodes, page_structure, page_struct_compare,
     python_features_golden, compare_works_golden, compliance_long_golden, percent_matrix_golden, same_heads_golden, struct_compare_golden, resulting_percentages_golden,
     sources_total_golden, general_total, report_prefix_filter, report_upsert, cache_hit_miss, exit_code_fold, calc_iterations, url_parse_pages, path_filter, text_lengths,
-    rolling_mean_20, trend_linear, dedup_keep_last, mean_by_length,
+    rolling_mean_20, trend_linear, trend_powers, dedup_keep_last, mean_by_length, same_heads_ties, page_classes, doc_source_classes,
 )}
 
 # SQL
@@ -387,7 +428,9 @@ _ITEM_REPS = f"reps AS (SELECT item_id AS id, {_SPLIT} AS w, CAST(NULL AS VARCHA
 
 
 def _grams(n: int = 3) -> str:
-    return f"""grams AS (SELECT DISTINCT id, source, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM reps),
+    return f"""texts AS (SELECT DISTINCT id, source, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM reps),
+    numbered AS (SELECT gram, CAST(row_number() OVER () AS INTEGER) AS number, count(*) AS df FROM texts GROUP BY gram),
+    grams AS (SELECT id, source, number AS gram FROM texts JOIN numbered USING (gram)),
     sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id)"""
 
 
@@ -467,10 +510,19 @@ ORACLE_SQL = {
     "exit_code_fold": "SELECT l_returnflag, l_linestatus, CAST(bit_or(CASE WHEN l_quantity >= 50 THEN 200 ELSE 0 END) AS BIGINT) AS exit_code FROM lineitem GROUP BY ALL",
     "calc_iterations": "SELECT source, CASE WHEN count(*) > 1 THEN count(*) * (count(*) - 1) // 2 ELSE 0 END AS iterations FROM documents GROUP BY source",
     "url_parse_pages": "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '/+$', ''), '/') AS p FROM pages) SELECT page_id, len(p) AS n_parts, p[1] AS protocol, p[3] AS host FROM p",
-    "path_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]+$|\\.html$')",
+    "path_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(concat(url, '.html'), '[0-9]+\\.html$') AND regexp_matches(regexp_extract(concat(url, '.html'), '([^/]*)$', 1), '\\..*$')",
     "text_lengths": r"WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g') AS c FROM documents) SELECT doc_id, length(c) AS content_len, length(translate(c, ' ' || chr(10) || chr(9), '')) AS content_len_without_blank, len(string_split(c, chr(10))) - CASE WHEN c = '' OR ends_with(c, chr(10)) THEN 1 ELSE 0 END AS count_lines_without_blank_lines FROM c",
     "rolling_mean_20": """WITH e AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events), w AS (SELECT event_id, count(*) OVER o AS n, sum(cents) OVER o AS s FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
         SELECT event_id, CASE WHEN n = 20 THEN CAST(s AS DOUBLE) / 20 END AS rolling_mean FROM w""",
+    "trend_powers": "SELECT l_returnflag, p AS power, sum(pow(l_linenumber, p) * CAST(l_quantity AS BIGINT)) / sum(pow(l_linenumber, 2 * p)) AS factor FROM lineitem, (VALUES (2), (3), (4)) t(p) GROUP BY l_returnflag, p",
+    "same_heads_ties": """SELECT * FROM (VALUES ('f', 'r', 90.0::DOUBLE, 0), ('f', 's', 80.0::DOUBLE, 1), ('f', 'q', 70.0::DOUBLE, 2), ('g', 'p', 70.0::DOUBLE, 0), ('g', 'q', 70.0::DOUBLE, 1), ('g', 'r', 70.0::DOUBLE, 2),
+        ('h', 's', 90.0::DOUBLE, 0), ('h', 'r', 85.0::DOUBLE, 1), ('h', 't', 85.0::DOUBLE, 2), ('i', 's', 70.0::DOUBLE, 0), ('i', 'q', 12.0::DOUBLE, 1), ('j', 'p', 64.0::DOUBLE, 0)) t(head, other_head, percent, rank)""",
+    "doc_source_classes": f"WITH {_CLASSES}, m AS (SELECT k, source, min(doc_id) AS class_id, count(*) AS class_size FROM keyed GROUP BY k, source) SELECT doc_id, class_id, class_size FROM keyed a JOIN m b ON a.k = b.k AND a.source IS NOT DISTINCT FROM b.source",
+    "lcs_neighbours": f"""WITH RECURSIVE {_ITEM_REPS}, p AS (SELECT a.id AS x, b.id AS y, a.w AS a, b.w AS b FROM reps a JOIN reps b ON b.id = a.id + 1),
+        t(x, y, i, line) AS (SELECT x, y, 0, list_transform(b, lambda z: 0) FROM p UNION ALL SELECT p.x, p.y, i + 1, list_transform(range(1, len(p.b) + 1), lambda j: greatest(line[j], coalesce(list_max(
+            list_transform(list_filter(range(1, j + 1), lambda k: p.b[k] = p.a[i + 1]), lambda k: 1 + CASE WHEN k > 1 THEN line[k - 1] ELSE 0 END)), 0))) FROM t JOIN p USING (x, y) WHERE i < len(p.a))
+        SELECT x AS first_id, y AS second_id, CAST(coalesce(line[len(b)], 0) AS BIGINT) AS lcs, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2 * CAST(coalesce(line[len(b)], 0) AS DOUBLE) / (len(a) + len(b)) ELSE 0.0::DOUBLE END AS coefficient
+        FROM t JOIN p USING (x, y) WHERE i = len(a)""",
     "trend_linear": "WITH s AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS sx, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS sy, CAST(sum(l_linenumber * l_linenumber) AS DOUBLE) AS sxx, CAST(sum(l_linenumber * CAST(l_quantity AS BIGINT)) AS DOUBLE) AS sxy FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s",
     "dedup_keep_last": "SELECT max(doc_id) AS doc_id, n_chars FROM documents GROUP BY n_chars",
     "mean_by_length": "SELECT CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(sum(n_chars) AS DOUBLE) / count(*) AS mean_value FROM documents GROUP BY 1",

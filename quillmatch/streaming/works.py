@@ -29,7 +29,7 @@ def check_batch(works: DataFrame, extension: str, features: Store, results: Stor
         return
     fresh = new.select(F.col("filepath").alias("_new"))
     every = features.read().join(fresh, F.col("filepath") == F.col("_new"), "left_anti").unionByName(new)
-    found = pairs.candidates(every, threshold, n)
+    found = pairs.scored_candidates(every, threshold, n)
     # Two equi-joins instead of one on either side, which would be a nested loop.
     one, other = (found.join(fresh, F.col(side) == F.col("_new"), "left_semi") for side in ("first", "second"))
     touched = one.unionByName(other).distinct()

@@ -169,6 +169,10 @@ def test_report_figures(spark):
 def test_survey(spark):
     rows = spark.createDataFrame([(i, 2.0 * i + 1) for i in range(30)], "x int, y double")
     assert survey.trend(rows, "x", "y") == pytest.approx([2.0, 1.0])
+    assert tuple(survey.linear_trend(rows, "x", "y").first()) == pytest.approx((2.0, 1.0))
+    assert tuple(survey.linear_trend(rows.limit(1), "x", "y").first()) == (None, None)
+    cubes = rows.select("x", (F.col("x") * F.col("x") * F.col("x") * 3.0).alias("y"), (F.col("x") % 2).alias("k"))
+    assert sorted(map(tuple, survey.power_trend(cubes, "x", "y", 3, "k").collect())) == [(0, pytest.approx(3.0)), (1, pytest.approx(3.0))]
     rolled = survey.rolling_mean(rows, "x", "y").orderBy("x").collect()
     assert rolled[18]["rolling_mean"] is None and rolled[19]["rolling_mean"] == pytest.approx(20.0)
     kept = survey.keep_last(spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "i int, k int"), "k", "i")
