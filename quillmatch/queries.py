@@ -476,7 +476,7 @@ ORACLE_SQL = {
     "doc_jaccard_pairs": f"WITH {_REPS}, {_grams()}, {_common()} SELECT x AS first_id, y AS second_id, n_common, jaccard FROM j WHERE jaccard >= 0.5",
     "doc_jaccard_cross_source": f"WITH {_SOURCE_REPS}, {_grams()}, {_common('a.source < b.source')} SELECT x AS first_id, y AS second_id, n_common, jaccard FROM j WHERE jaccard >= 0.5",
     "doc_vs_benchmark_containment": f"""WITH {_WORDS}, d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS gram FROM docs), {_ITEM_REPS}, {_grams()}
-        SELECT doc_id, id AS item_id, n_common, containment FROM (SELECT doc_id, g.id, count(*) AS n_common, CAST(count(*) AS DOUBLE) / any_value(s.n) AS containment FROM d JOIN grams g USING (gram) JOIN sizes s ON s.id = g.id GROUP BY doc_id, g.id) WHERE containment >= 0.5""",
+        SELECT doc_id, id AS item_id, n_common, containment FROM (SELECT doc_id, g.id, count(*) AS n_common, CAST(count(*) AS DOUBLE) / any_value(s.n) AS containment FROM d JOIN texts g USING (gram) JOIN sizes s ON s.id = g.id GROUP BY doc_id, g.id) WHERE containment >= 0.5""",
     **{f"doc_counter_{q}": f"SELECT id AS doc_id, item, n FROM ({_counter_table(name, 'doc_id')})" for q, name in (("marks", "operators"), ("keywords", "keywords"), ("literals", "literals"))},
     "doc_counter_metric_pairs": f"WITH {_REPS}, {_grams()}, {_common()}, p AS (SELECT x, y FROM j WHERE jaccard >= 0.5), {_metric('operators', 'doc_id', 'p')} SELECT x AS first_id, y AS second_id, v AS metric FROM operators_v",
     "doc_fast_compare": _fast(_REPS, "doc_id", 65),
