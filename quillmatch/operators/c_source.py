@@ -1,8 +1,9 @@
 """Features of C and C++ sources.
 
 With libclang's bindings installed the tree is libclang's. Without them a lexer
-gives the counters exactly, and a structure by brackets that is only similar in
-kind: top-level declarations, statements and blocks.
+gives the counters (without those of directives) and the parser of ``c_parser``
+the tree, in the same kinds. Headers are not read, so names from them have no
+types. Sources too deep for the parser get a structure by brackets.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import importlib.util
 import re
 
+from . import c_parser
 from .python_source import add_node, empty_features, sha256_of
 
 # Operators that are counted.
@@ -53,7 +55,77 @@ def _count(out: dict, kind: str, spelling: str) -> None:
         out[group][spelling] = out[group].get(spelling, 0) + 1
 
 
-def _lexical(code: str) -> dict:
+def _directives(code: str) -> tuple[list[tuple[str, str]], list[tuple[str, list[tuple[str, str]]]]]:
+    """(tokens that the conditions leave, with constants of the file put in; definitions as (name, tokens))."""
+    tokens, definitions, constants = [], [], {}
+    active = [True]
+    for m in _LEXEME.finditer(code):
+        kind = m.lastgroup if m.lastgroup != "mark" else "literal"
+        if kind == "directive":
+            word, _, rest = m[0].replace("\\\n", " ").strip()[1:].strip().partition(" ")
+            rest = rest.strip()
+            if word in ("if", "ifdef", "ifndef"):
+                holds = rest not in ("0", "false") if word == "if" else (rest in constants) == (word == "ifdef")
+                active.append(active[-1] and holds)
+            elif word in ("else", "elif") and len(active) > 1:
+                active[-1] = active[-2] and not active[-1]
+            elif word == "endif" and len(active) > 1:
+                active.pop()
+            elif word == "define" and active[-1] and (name := re.match(r"\w+", rest)):
+                body = lex(rest[name.end():])
+                definitions.append((name[0], [("identifier", name[0]), *body]))
+                constants[name[0]] = None if rest[name.end():].startswith("(") else body
+            elif word == "undef":
+                constants.pop(rest, None)
+        elif kind != "comment" and active[-1]:
+            if kind == "word":
+                kind = "keyword" if m[0] in KEYWORDS else "identifier"
+            tokens += _expand(kind, m[0], constants, ())
+    return tokens, definitions
+
+
+def _expand(kind: str, spelling: str, constants: dict, inside: tuple[str, ...]) -> list[tuple[str, str]]:
+    body = constants.get(spelling) if kind == "identifier" and spelling not in inside else None
+    if body is None or len(inside) > 8:
+        return [(kind, spelling)]
+    return [t for k, s in body for t in _expand(k, s, constants, (*inside, spelling))]
+
+
+def _parsed(code: str) -> dict | None:
+    """Features by the parser of this package; null for what it gives up on."""
+    out = empty_features()
+    for kind, spelling in lex(code):
+        _count(out, kind, spelling)
+    tokens, definitions = _directives(code)
+    try:
+        top = c_parser.parse(tokens)
+    except (RecursionError, c_parser.TooAmbiguous):
+        return None
+    for name, body in definitions:
+        _add_tree(out, c_parser.Node("MACRO_DEFINITION", name), body)
+    for node in top:
+        _add_tree(out, node, tokens[node.first : node.last])
+    return out
+
+
+def _add_tree(out: dict, top: c_parser.Node, tokens: list[tuple[str, str]]) -> None:
+    """Nodes in the order of the source; a declaration without children has its tokens noted."""
+    stack = [(top, 1)]
+    while stack:
+        node, depth = stack.pop()
+        out["tokens"].append(c_parser.KINDS[node.kind])
+        add_node(out, f"CursorKind.{node.kind}", depth)
+        stack += [(c, depth + 1) for c in reversed(node.children)]
+    out["head_nodes"].append(top.spelling)
+    if not top.children:
+        for kind, _ in tokens:
+            label = f"TokenKind.{kind.upper()}"
+            add_node(out, label, 1)
+            out["head_nodes"].append(label)
+
+
+def _brackets(code: str) -> dict:
+    """Features of a source too deep or too ambiguous to parse: statements and blocks."""
     out = empty_features()
     depth, fresh, head = 1, True, None
     for kind, spelling in lex(code):
@@ -113,7 +185,7 @@ def has_clang() -> bool:
 
 
 def extract(code: str, path: str = "") -> dict | None:
-    out = _clang(code, path) if has_clang() else _lexical(code)
+    out = _clang(code, path) if has_clang() else _parsed(code) or _brackets(code)
     return None if out is None else out | {"sha256": sha256_of(out["structure"])}
 
 

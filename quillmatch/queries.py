@@ -241,6 +241,16 @@ SECOND = "def my_func(length, future, shifr):\n    future += length\n    print(s
 CONSTANTS = "INT_CONST: int = 10\nINT_CONST += 15\nFLOAT_CONST = 10.5\n\n\n" + FIRST
 
 
+C_FIRST = "int gcd(int l, int r) {\n  if (r == 0)\n    return l;\n  return gcd(r, l % r);\n}\n"
+C_SECOND = "int gcd(long a, long b)\n{\n  if (b == 0L) { return a; }\n  return gcd(b, a % b);\n}\n"
+
+
+def c_features_golden(spark, sf_dir):
+    works = spark.createDataFrame([("a.cpp", C_FIRST, "", "x"), ("b.cpp", C_SECOND, "", "x")], "filepath string, code string, modify_date string, collection_id string")
+    f = extract.features_from_works(works, "cpp")
+    return f.select("filepath", "count_of_nodes", "count_unodes", F.array_join("tokens", " ").alias("kinds"), F.array_join("head_nodes", " ").alias("heads"))
+
+
 def python_features_golden(spark, sf_dir):
     works = spark.createDataFrame([("a.py", CONSTANTS, "", "x")], "filepath string, code string, modify_date string, collection_id string")
     f = extract.features_from_works(works, "py")
@@ -412,7 +422,7 @@ QUERIES = {f.__name__: f for f in (
     doc_classes, doc_ngrams_distinct, doc_ngram_top, doc_jaccard_pairs, doc_jaccard_cross_source, doc_vs_benchmark_containment, doc_counter_marks, doc_counter_keywords,
     doc_counter_literals, doc_counter_metric_pairs, doc_fast_compare, doc_fast_compare_weights, doc_fast_compare_bigrams, benchmark_compare_ignore_threshold, imprints,
     levenshtein_names, lcs_neighbours, lcs_golden, gst_neighbours, op_shift_users, benchmark_structure, doc_unique_nodes, page_structure, page_struct_compare,
-    python_features_golden, compare_works_golden, compliance_long_golden, percent_matrix_golden, same_heads_golden, struct_compare_golden, resulting_percentages_golden,
+    c_features_golden, python_features_golden, compare_works_golden, compliance_long_golden, percent_matrix_golden, same_heads_golden, struct_compare_golden, resulting_percentages_golden,
     sources_total_golden, general_total, report_prefix_filter, report_upsert, cache_hit_miss, exit_code_fold, calc_iterations, url_parse_pages, path_filter, text_lengths,
     rolling_mean_20, trend_linear, trend_powers, dedup_keep_last, mean_by_length, same_heads_ties, page_classes, doc_source_classes,
 )}
@@ -495,6 +505,8 @@ ORACLE_SQL = {
     "benchmark_structure": f"""WITH {_ITEM_REPS}, w AS (SELECT id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM reps), f AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY min(pos)) - 1 AS uid FROM w GROUP BY id, x)
         SELECT w.id AS item_id, max(uid) + 1 AS count_unodes, sha256(concat('[', string_agg(CAST(uid AS VARCHAR), ', ' ORDER BY pos), ']')) AS sha256 FROM w JOIN f USING (id, x) GROUP BY w.id""",
     "doc_unique_nodes": f"WITH {_ITEM_REPS}, w AS (SELECT id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM reps) SELECT id AS item_id, x AS node, row_number() OVER (PARTITION BY id ORDER BY min(pos)) - 1 AS uid FROM w GROUP BY id, x",
+    "c_features_golden": """SELECT * FROM (VALUES ('a.cpp', 23, 10, '8 10 10 202 205 114 100 101 106 214 100 101 214 103 100 101 100 101 114 100 101 100 101', 'gcd'),
+        ('b.cpp', 25, 10, '8 10 10 202 205 114 100 101 106 202 214 100 100 101 214 103 100 101 100 101 114 100 101 100 101', 'gcd')) t(filepath, count_of_nodes, count_unodes, kinds, heads)""",
     "python_features_golden": "SELECT 'a.py' AS filepath, 42::INTEGER AS count_of_nodes, 15::INTEGER AS count_unodes, 'cc112603b970b41f72e0488dcc6f9e26889a9298c752e61a25d3e10caf512e43' AS sha256, 'INT_CONST[1] INT_CONST[2] FLOAT_CONST[3] my_func[6] If[12]' AS heads",
     "compare_works_golden": "SELECT 0.737::DOUBLE AS jakkar, 0.667::DOUBLE AS operators, 1.0::DOUBLE AS keywords, 0.75::DOUBLE AS literals, 0.774::DOUBLE AS weighted_average, 0.824::DOUBLE AS similarity",
     "compliance_long_golden": "SELECT * FROM (VALUES (0, 0, 'my_func[1]', 'my_func[1]', 0.7917::DOUBLE), (0, 1, 'my_func[1]', 'If[7]', 0.3333::DOUBLE), (1, 0, 'If[7]', 'my_func[1]', 0.1852::DOUBLE), (1, 1, 'If[7]', 'If[7]', 0.8889::DOUBLE)) t(i, j, first_head, second_head, ratio)",

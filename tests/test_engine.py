@@ -4,6 +4,8 @@ import base64
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmatch import cli, display, queries
@@ -41,6 +43,60 @@ def test_c_lexer():
         assert f["head_nodes"][0] == "gcd"
 
 
+def _kinds(code):
+    f = c_source.extract(code)
+    return [f["from_num"][u].split(".")[1] for _, u in f["structure"]]
+
+
+# Numbers of the cursor kinds and hash of two known functions.
+C_TOKENS = [
+    [8, 10, 10, 202, 205, 114, 100, 101, 106, 214, 100, 101, 214, 103, 100, 101, 100, 101, 114, 100, 101, 100, 101],
+    [8, 10, 10, 202, 205, 114, 100, 101, 106, 202, 214, 100, 100, 101, 214, 103, 100, 101, 100, 101, 114, 100, 101, 100, 101],
+]
+C_SHA256 = "e60cabdc857dad1c75022143429806e146ad5fe299528fc47426a2f0c5c2f9a7"
+
+
+@pytest.mark.skipif(c_source.has_clang(), reason="the parser stands in for the bindings")
+def test_c_goldens():
+    first, second = (c_source.extract(code) for code in (queries.C_FIRST, queries.C_SECOND))
+    assert [first["tokens"], second["tokens"]] == C_TOKENS
+    assert (first["count_of_nodes"], second["count_of_nodes"]) == (23, 25) and first["count_unodes"] == second["count_unodes"] == 10
+    assert first["head_nodes"] == second["head_nodes"] == ["gcd"] and second["sha256"] == C_SHA256
+    assert second["operators"] == {"==": 1, "%": 1} and second["literals"] == {"0L": 1}
+    assert second["keywords"] == {"int": 1, "if": 1, "return": 2, "long": 2}
+
+
+@pytest.mark.skipif(c_source.has_clang(), reason="the parser stands in for the bindings")
+@pytest.mark.parametrize(
+    "code, kinds",
+    [
+        ("int n;", "VAR_DECL KEYWORD IDENTIFIER"),
+        ("#define N 3\nint a[N];", "MACRO_DEFINITION IDENTIFIER LITERAL VAR_DECL INTEGER_LITERAL"),
+        ("using namespace std; namespace n { int hidden; } double d = 1;", "VAR_DECL UNEXPOSED_EXPR INTEGER_LITERAL"),
+        ("#if 0\nint gone = 1;\n#else\nint n = 2;\n#endif\n", "VAR_DECL INTEGER_LITERAL"),
+        ("struct P { int x; P(int a) : x(a) {} }; P::~P() {}", "STRUCT_DECL FIELD_DECL CONSTRUCTOR PARM_DECL MEMBER_REF UNEXPOSED_EXPR DECL_REF_EXPR COMPOUND_STMT DESTRUCTOR TYPE_REF COMPOUND_STMT"),
+        ("struct P { int x; }; void f() { P *p = new P(); delete p; }", "STRUCT_DECL FIELD_DECL FUNCTION_DECL COMPOUND_STMT DECL_STMT VAR_DECL TYPE_REF CXX_NEW_EXPR TYPE_REF CALL_EXPR CXX_DELETE_EXPR UNEXPOSED_EXPR DECL_REF_EXPR"),
+        ("template <class T> T top(T a) { return a; }", "FUNCTION_TEMPLATE TEMPLATE_TYPE_PARAMETER TYPE_REF PARM_DECL TYPE_REF COMPOUND_STMT RETURN_STMT DECL_REF_EXPR"),
+        ("void f(int *p) { for (int i = 0; i < 3; ++i) p[i] += 1; }", "FUNCTION_DECL PARM_DECL COMPOUND_STMT FOR_STMT DECL_STMT VAR_DECL INTEGER_LITERAL BINARY_OPERATOR UNEXPOSED_EXPR DECL_REF_EXPR INTEGER_LITERAL UNARY_OPERATOR DECL_REF_EXPR COMPOUND_ASSIGNMENT_OPERATOR ARRAY_SUBSCRIPT_EXPR UNEXPOSED_EXPR DECL_REF_EXPR UNEXPOSED_EXPR DECL_REF_EXPR INTEGER_LITERAL"),
+        ("void f() { std::vector<std::vector<int>> v; while (true) { break; } }", "FUNCTION_DECL COMPOUND_STMT DECL_STMT VAR_DECL NAMESPACE_REF TEMPLATE_REF NAMESPACE_REF TEMPLATE_REF CALL_EXPR WHILE_STMT CXX_BOOL_LITERAL_EXPR COMPOUND_STMT BREAK_STMT"),
+    ],
+)
+def test_c_trees(code, kinds):
+    assert _kinds(code) == kinds.split()
+
+
+@given(st.lists(st.sampled_from("int x ( ) { } [ ] ; , < > >> * & = == if else for while return struct class P : :: 1 'c' \"s\" new template using case #define operator ~ -> . ? \n".split(" ")), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_c_parser_takes_anything(parts):
+    f = c_source.extract(" ".join(parts))
+    assert f["count_of_nodes"] == len(f["structure"]) and all(d >= 1 for d, _ in f["structure"])
+
+
+def test_c_sources_too_deep():
+    assert c_source.extract("int n = " + "(" * 20_000 + "1" + ")" * 20_000 + ";")["count_of_nodes"]
+    assert c_source.extract("int f() " + "{" * 20_000 + "}" * 20_000)["count_of_nodes"]
+
+
 def test_html_tree():
     f = html_tree.extract("<html><body><p>a<br>b</p><p>c</body></html>")
     assert [d for d, _ in f["structure"]] == [1, 2, 3, 4, 3]
