@@ -11,6 +11,7 @@ import base64
 import json
 import logging
 import re
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -36,10 +37,16 @@ class SourceError(SystemExit):
 
 
 class Client:
-    """Plain HTTP, with entity tags so that unchanged replies are not sent again."""
+    """Plain HTTP, with entity tags so that unchanged replies are not sent again.
 
-    def __init__(self, token: str = "", api: str = "https://api.github.com", most: int = 500) -> None:
+    A host that is busy or has counted too many requests is asked again: after
+    the time it names, if that is ``patience`` seconds at most, else after
+    ``waits`` seconds.
+    """
+
+    def __init__(self, token: str = "", api: str = "https://api.github.com", most: int = 500, waits: tuple[float, ...] = (1, 4, 16), patience: float = 3900) -> None:
         self.token, self.api, self.most = token, api, most
+        self.waits, self.patience = waits, patience
         self.known: dict[str, tuple[str, object]] = {}
 
     def get(self, path: str, params: dict | None = None) -> object:
@@ -52,13 +59,14 @@ class Client:
         if url in self.known:
             request.add_header("If-None-Match", self.known[url][0])
         try:
-            with urllib.request.urlopen(request) as reply:
-                body, tag = json.load(reply), reply.headers.get("ETag")
+            body, tag = self.ask(request)
         except urllib.error.HTTPError as e:
             if e.code == 304:
                 return self.known[url][1]
             if e.code in (400, 403, 404):
                 raise SourceError(f"The code host answered {e.code} for {url}: {json.load(e).get('message', '')}") from e
+            if e.code == 429 or e.code >= 500:
+                raise SourceError(f"The code host answered {e.code} for {url}.") from e
             raise SourceError(f"The code host refused the access token ({e.code}).") from e
         except (urllib.error.URLError, ConnectionError) as e:
             raise SourceError(f"The code host could not be reached: {e}") from e
@@ -68,6 +76,32 @@ class Client:
             self.known[url] = (tag, body)
         return body
 
+    def ask(self, request: urllib.request.Request) -> tuple[object, str | None]:
+        """(body, entity tag) of the first reply that isn't put off."""
+        for wait in (*self.waits, None):
+            try:
+                with urllib.request.urlopen(request) as reply:
+                    return json.load(reply), reply.headers.get("ETag")
+            except urllib.error.HTTPError as e:
+                pause = None if wait is None else self.pause(e, wait)
+                if pause is None:
+                    raise
+                log.warning("The code host answered %s; waiting %.0f s.", e.code, pause)
+                time.sleep(pause)
+        raise AssertionError("unreachable")
+
+    def pause(self, e: urllib.error.HTTPError, wait: float) -> float | None:
+        """Seconds to wait before asking again; null where that is of no use."""
+        headers = e.headers or {}
+        named = None
+        if headers.get("Retry-After", "").isdigit():
+            named = float(headers["Retry-After"])
+        elif headers.get("X-RateLimit-Remaining") == "0" and headers.get("X-RateLimit-Reset", "").isdigit():
+            named = max(0.0, float(headers["X-RateLimit-Reset"]) - time.time()) + 1
+        if e.code in (403, 429) and named is not None:
+            return named if named <= self.patience else None
+        return wait if e.code == 429 or 500 <= e.code < 600 else None
+
 
 @dataclass(frozen=True)
 class Commit:

@@ -1,7 +1,10 @@
 """Extraction, pairs, stores, reports, sources, plans and the command line."""
 
 import base64
+import email.message
+import io
 import json
+import urllib.error
 
 import pytest
 from hypothesis import given, settings
@@ -224,6 +227,42 @@ def test_code_host(spark):
     assert extract.features_from_works(rows, "py").first()["count_of_nodes"] > 0
 
 
+def test_host_that_puts_off(monkeypatch):
+    asked, slept = [], []
+
+    def answer(code, **headers):
+        message = email.message.Message()
+        for k, v in headers.items():
+            message[k.replace("_", "-")] = v
+        return urllib.error.HTTPError("u", code, "no", message, io.BytesIO(b'{"message": "no"}'))
+
+    def client_for(*replies):
+        left = list(replies)
+
+        def urlopen(request):
+            asked.append(request)
+            reply = left.pop(0)
+            if isinstance(reply, Exception):
+                raise reply
+            out = io.BytesIO(json.dumps(reply).encode())
+            out.headers = {}
+            return out
+
+        monkeypatch.setattr(github.urllib.request, "urlopen", urlopen)
+        monkeypatch.setattr(github.time, "sleep", slept.append)
+        return github.Client(waits=(1, 2))
+
+    assert client_for(answer(503), answer(403, Retry_After="7"), {"a": 1}).get("x") == {"a": 1} and slept == [1, 7]
+    slept.clear()
+    reset = str(int(github.time.time()) + 30)
+    assert client_for(answer(403, X_RateLimit_Remaining="0", X_RateLimit_Reset=reset), []).get("x") == [] and 25 < slept[0] < 35
+    for replies, times in (([answer(404)], 1), ([answer(403)], 1), ([answer(403, Retry_After="99999")], 1), ([answer(502)] * 3, 3)):
+        asked.clear()
+        with pytest.raises(SystemExit):
+            client_for(*replies).get("x")
+        assert len(asked) == times
+
+
 @pytest.mark.parametrize(("kind", "url"), [(links.HostUrl, "ftp://github.com/x"), (links.RepoUrl, "https://github.com/o"), (links.ContentUrl, "https://github.com/o/r"), (links.HostUrl, "https://example.com/a")])
 def test_bad_links(kind, url):
     with pytest.raises(ValueError):
