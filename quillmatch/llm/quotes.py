@@ -46,7 +46,6 @@ from pyspark.sql import functions as F
 from . import common
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-_WROTE = re.compile(r"[^\n]{0,200}\bwrote:\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WHITE = re.compile(r"\s+")
 #: Thai to Lao, Burmese, Khmer, kana and Han: written without spaces.
@@ -60,6 +59,12 @@ class Options:
     min_words: int = 3
 
 
+def _introduces(line: str) -> bool:
+    """Whether a line of any length ends with the word that introduces a quote."""
+    line = line.rstrip()
+    return line.endswith("wrote:") and not (line[:-6][-1:].isalnum() or line[:-6][-1:] == "_")
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     """(own text without quotes, passages as (level, text))."""
     own: list[str] = []
@@ -71,7 +76,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
         if not level:
             own.append(line)
         else:
-            if not before and own and _WROTE.match(own[-1]):
+            if not before and own and _introduces(own[-1]):
                 own.pop()  # the line that introduces a quote
             if before == level:
                 passages[-1][1].append(line[m.end() :])

@@ -709,6 +709,100 @@ def test_quote_levels():
     assert own == "own" and passages == [(1, "a"), (2, "b\nc"), (1, "d")]
 
 
+def test_lines_that_introduce_quotes():
+    assert quotes.parse("x" * 5000 + " wrote:  \n> a")[0] == "" and quotes.parse("On Monday Ann wrote:\n\n> a")[0] == "On Monday Ann wrote:"
+    assert quotes.parse("he rewrote:\n> a")[0] == "he rewrote:" and quotes.parse("wrote:\n> a")[0] == "" and quotes.parse("a\n> b")[0] == "a"
+
+
+def _plain_links(rows):
+    """Origins of passages by comparing every message with every other."""
+    parsed = {(c, t): quotes.parse(x or "") for c, t, _, x in rows if c is not None and t is not None}
+    own = {k: v[0] for k, v in parsed.items()}
+    words = {k: " " + " ".join(quotes._WORD.findall(x.lower())) + " " for k, x in own.items()}
+
+    def holds(key, piece):
+        some = quotes._WORD.findall(piece)
+        return f" {' '.join(some)} " in words[key] if some else piece in quotes.units(own[key])
+
+    out = {}
+    for (c, t), (_, passages) in parsed.items():
+        before = sorted((k for k in own if k[0] == c and k[1] < t), reverse=True)
+        for level, passage in passages:
+            pieces = quotes.units(passage)
+            if not pieces:
+                continue
+            found = next((k for k in before if pieces[0] in quotes.units(own[k])), None)
+            if not found:
+                votes = {}
+                for i, piece in enumerate(pieces):
+                    near = next((k for k in before if holds(k, piece)), None)
+                    if near:
+                        whole, n = votes.get(near, (False, 0))
+                        votes[near] = (whole or i == 0, n + len(quotes._WORD.findall(piece)))
+                found = max(votes, key=lambda k: (*votes[k], k[1]), default=None)
+            if not found:
+                votes = {}
+                for i, piece in enumerate(pieces):
+                    first = min((k for k in own if piece in quotes.units(own[k])), default=None)
+                    if len(piece.split()) >= 3 and first and first[0] != c:
+                        whole, n = votes.get(first, (False, 0))
+                        votes[first] = (whole or i == 0, n + len(piece.split()))
+                found = max(votes, key=lambda k: (*votes[k], k), default=None)
+            out[c, t, level, pieces[0]] = found or (None, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotes_against_brute_force(spark, seed):
+    """Nested levels, parts of lines, passages of several messages, and a line that a third of all messages hold and quote."""
+    rng = random.Random(seed)
+    some = "ship harbour wind sail rope mast crew port tide chart deck anchor".split()
+    hot = "thanks to all of you here"
+    rows, lines = [], []
+    for c in range(6):
+        said = []
+        for t in range(25 if not c else 8):
+            text = []
+            for level in rng.choice([(), (1,), (1, 2), (2, 1, 3)]):
+                if not said:
+                    break
+                kind, source = rng.random(), rng.choice(said)
+                if kind < 0.3:
+                    quoted = [hot]
+                elif kind < 0.5:
+                    quoted = [rng.choice(source)]
+                elif kind < 0.65:
+                    part = rng.choice(source).split()
+                    k = rng.randrange(len(part))
+                    quoted = [" ".join(part[k : k + 3])]
+                elif kind < 0.8:
+                    quoted = rng.sample(source, min(2, len(source))) + rng.choice([[], rng.choice(said)])
+                elif kind < 0.95:
+                    quoted = [rng.choice(lines)]
+                else:
+                    quoted = ["nobody ever said this"]
+                text += [">" * level + " " + q.upper() for q in quoted] + [" ".join(rng.choices(some, k=4))]
+            mine = [" ".join(rng.choices(some, k=rng.randint(3, 6))) for _ in range(rng.randint(1, 3))] + [hot] * (rng.random() < 0.4)
+            said.append(mine)
+            lines += mine
+            rows.append((c, t, "user", "\n".join(text + mine)))
+    out, links = quotes.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    expected = _plain_links(rows)
+    got = {(r["conv_id"], r["turn"], r["level"], r["hash"]): (r["origin_conv"], r["origin_turn"]) for r in links.collect()}
+    assert got == {(c, t, level, quotes._hash(p)): v for (c, t, level, p), v in expected.items()}
+    parents = {}
+    for (c, t, level, _), (oc, ot) in expected.items():
+        if level == 1 and oc == c:
+            parents[c, t] = max(parents.get((c, t), -1), ot)
+    for r in out.collect():
+        here, depth = (r["conv_id"], r["turn"]), 0
+        assert r["parent_turn"] == parents.get(here)
+        while here in parents:
+            here, depth = (here[0], parents[here]), depth + 1
+        assert (r["thread_turn"], r["depth"]) == (here[1], depth)
+    assert len(set(got.values())) > 10
+
+
 # All: very long texts, empty tables
 
 
