@@ -39,8 +39,8 @@ STAGES = [
     ("token-ID / binary output", token_output),
 ]
 
-#: The fingerprints and the tokenizer can't be expressed in SQL; tests hold the
-#: pipeline against a brute-force version.
+#: The fingerprints and the tokenizer can't be expressed in SQL; tests hold each
+#: operator against a brute-force version, and the stages against the operators.
 ORACLE_SQL = None
 
 

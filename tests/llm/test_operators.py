@@ -250,6 +250,83 @@ def test_mixing(spark):
     assert {r["rate"] for r in mixing.rates(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def _plain_features(text):
+    bare = re.sub("[a-z \\x09-\\x0D]+", "", text)
+    marks = re.sub("[A-Z\\x80-\U0010ffff]+", "", bare)
+    odd = re.sub("[.,;:'\"?()0-9-]+", "", marks)
+    shares = [min(7, math.floor(math.log2(1 + 1000 * len(c) / max(1, len(text))) * 0.8)) for c in (bare, marks, odd)]
+    bag = [w for w in re.split("[ \\x09-\\x0D.,;:!?|&%$#*<>()\"]+", text.lower()) if w]
+    return set(bag), len(bag), shares
+
+
+def _plain_factor(seen, options, by_words):
+    """Chance of a label by (words, shares), from rows of (words, shares, label)."""
+    every, yes = len(seen), sum(y for *_, y in seen)
+    n, n1 = collections.Counter(), collections.Counter()
+    for words, _, y in seen:
+        n.update(words)
+        n1.update(words if y else ())
+    best = []
+    for w in n:
+        expected = n[w] * yes / every
+        z = (n1[w] - expected) / math.sqrt(expected + 1)
+        lift = math.log((n1[w] + 0.5) / (yes + 1)) - math.log((n[w] - n1[w] + 0.5) / (every - yes + 1))
+        if n1[w] >= 5 and z >= options.min_deviation and lift >= options.min_lift:
+            best.append((-z, w))
+    lexicon = {w for _, w in sorted(best)[: options.max_words]}
+
+    def classes(words, shares):
+        out = [(k, x) for k, x in enumerate([*shares, min(4, len(lexicon & words))])]
+        return out[3:] if by_words else out
+
+    count = collections.Counter((c, y) for words, shares, y in seen for c in classes(words, shares))
+    odds = {c: math.log((count[c, 1] + 0.5) / (yes + 4)) - math.log((count[c, 0] + 0.5) / (every - yes + 4)) for c, _ in count}
+    prior = math.log((yes + 0.5) / (every - yes + 0.5))
+    return lambda words, shares: 1 / (1 + math.exp(-prior - sum(odds.get(c, 0.0) for c in classes(words, shares))))
+
+
+def test_mixing_against_brute_force(spark):
+    """Posteriors and rates of every document, by a classifier in plain Python and
+    gradient steps over documents instead of cells."""
+    r = random.Random(5)
+    rows, marked = [], []
+    for i in range(240):
+        toxic, low = i % 4 == 0, i % 3 == 0
+        text = prose(20 + r.randrange(60), i) + " vile scum awful" * (toxic and r.random() < 0.9) + " buy now cheap $$$ ###" * (low and r.random() < 0.8)
+        rows.append((i, text, "en", "s", 0))
+        marked += [(i, 0 if low else 1, int(toxic))] * (i % 5 < 3)
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), rows[0]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    options = mixing.Options(min_deviation=3.0)
+    labels = spark.createDataFrame([*marked, (None, 0, 0), (7, None, 1)], "doc_id bigint, quality int, toxic int")
+    got = {x["doc_id"]: x for x in mixing.rates(docs, labels, options).collect()}
+
+    features = [(i, _plain_features(text or "")) for i, text, *_ in rows]
+    truth = {i: (1 - q, t) for i, q, t in marked}
+    seen = [(words, shares, truth[i]) for i, (words, _, shares) in features if i in truth]
+    low, toxic = (_plain_factor([(w, s, y[k]) for w, s, y in seen], options, bool(k)) for k in (0, 1))
+    q, tokens_of = np.zeros((len(rows), 4)), np.array([n for _, (_, n, _) in features], float)
+    for j, (_, (words, _, shares)) in enumerate(features):
+        a, b = low(words, shares), toxic(words, shares)
+        upto = [math.floor(100 * x + 0.5) for x in (a * (1 - b), a * (1 - b) + (1 - a) * b, a + b - a * b)]
+        q[j, 1:] = np.diff([0, *upto]) / 100
+        q[j, 0] = 1 - q[j, 1:].sum()
+    mass = tokens_of @ q
+    want = np.array([min(m, options.ratio[d] * mass[0]) for m, d in zip(mass, mixing.DOMAINS)])
+    rate = np.ones(len(rows))
+    for _ in range(options.iterations):
+        gap = (tokens_of * rate) @ q - want
+        if abs(gap).max() <= options.tolerance * mass.sum():
+            break
+        rate = np.maximum(0, rate - q @ (gap / mass))
+    assert len(got) == len({i for i, *_ in rows}) and rate.min() < 0.2 < 0.8 < rate.max()
+    for j, (i, (_, n, _)) in enumerate(features):
+        assert got[i]["n_tokens"] == n
+        assert [got[i][f"p_{d}"] for d in mixing.DOMAINS] == pytest.approx(list(q[j]), abs=1e-9)
+        assert got[i]["rate"] == pytest.approx(rate[j], abs=1e-4) and got[i]["copies"] - math.floor(got[i]["rate"]) in (0, 1)
+    assert abs((tokens_of * rate) @ q - want).max() < 0.05 * want[0]
+
+
 # 5: tokens
 
 
