@@ -20,6 +20,7 @@ text hashes. An empty table gives no segments. Other columns are not read.
 from __future__ import annotations
 
 import os
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,12 +96,28 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _without_normalizer(tokenizer):
+    """A tokenizer that gives printable lower-case ASCII the same ids without its
+    normalizer, where that is known to leave such text alone; else the same tokenizer."""
+    spec = json.loads(tokenizer.to_str())
+    rules = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+    rules = rules["normalizers"] if rules["type"] == "Sequence" else [rules]
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    known = all(r["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or r == spaces for r in rules)
+    if not known or any(t["normalized"] for t in spec["added_tokens"]):
+        return tokenizer
+    lean = type(tokenizer).from_str(tokenizer.to_str())
+    lean.normalizer = None
+    return lean
+
+
 class WordIds:
     """Ids of words. The first ``most`` different words that a Python worker meets
     are remembered: more than half of the words of any later text are among them."""
 
     def __init__(self, tokenizer, most: int = 900_000) -> None:
         self.tokenizer, self.most = tokenizer, most
+        self.lean = _without_normalizer(tokenizer)
         self.known = pa.array([], pa.string())
         self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -109,8 +126,12 @@ class WordIds:
         words = words.cast(pa.string())
         place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
         new = np.flatnonzero(place < 0)
+        plain = pc.match_substring_regex(words.take(pa.array(new)), r"^[!-@\[-~]+$").to_numpy(zero_copy_only=False)
+        n_plain = int(plain.sum())
+        new = np.concatenate([new[plain], new[~plain]])
         fresh = words.take(pa.array(new))
-        flat, lengths = _encode_words(self.tokenizer, fresh.to_pylist())
+        some = [_encode_words(t, part.to_pylist()) for t, part in ((self.lean, fresh.slice(0, n_plain)), (self.tokenizer, fresh.slice(n_plain)))]
+        flat, lengths = (np.concatenate(x) for x in zip(*some))
         every = np.concatenate([self.lengths, lengths.astype(np.int32)])
         place[new] = len(self.lengths) + np.arange(len(new))
         both = np.concatenate([self.flat, flat])
@@ -145,8 +166,8 @@ def tokenize(words: WordIds, texts: pa.Array, by_word: bool = True) -> tuple[np.
     coded = pc.list_flatten(lists).dictionary_encode()
     flat, starts, lengths = words.ids(coded.dictionary)
     index = coded.indices.to_numpy()
-    each = lengths[index]
-    ids = flat[_spread(starts[index], each)]
+    each = lengths.take(index)
+    ids = flat.take(_spread(starts.take(index), each))
     ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(per_text)))]
     return ids, np.diff(ends)
 

@@ -10,8 +10,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmatch.llm import decontaminate, graph, lm, mixing, pii, quality, quotes, rangecoder, secrets, shards, simhash, tokens
@@ -330,6 +333,17 @@ def test_mixing_against_brute_force(spark):
 # 5: tokens
 
 
+@given(st.lists(st.text(st.one_of(st.characters(min_codepoint=33, max_codepoint=126), st.sampled_from("üßİĀﬁ①\u0301\x02\x1c\x85\u00a0一")), min_size=1, max_size=9), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_words(words):
+    """Words together, with and without the normalizer, get the ids they get alone."""
+    words = list(dict.fromkeys(w for w in pc.ascii_lower(pa.array(words, pa.string())).to_pylist()))
+    tokenizer = tokens._tokenizer(tokens.default_tokenizer())
+    flat, starts, lengths = tokens.WordIds(tokenizer).ids(pa.array(words, pa.string()))
+    got = [flat[a : a + n].tolist() for a, n in zip(starts, lengths)]
+    assert got == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 2048, 2049, 5000])
 def test_range_coder(n):
     r = np.random.default_rng(n)
