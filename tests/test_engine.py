@@ -420,3 +420,41 @@ def test_command_line(spark, works, tmp_path, monkeypatch, capsys, kind):
     for report_type in ("general", "sources"):
         assert cli.main(["report", "create", "-p", str(tmp_path), "-t", report_type]) == 0
     assert (tmp_path / "report.html").exists() and (tmp_path / "sources.html").exists()
+
+
+def test_overlaps_against_brute_force(spark):
+    """Copies of one path, sizes that differ, grams that very many works share, and several tasks."""
+    import random
+
+    from quillmatch.operators import overlap
+
+    draw = random.Random(7)
+    common = list(range(40))
+    works = []
+    for k in range(60):
+        base = [draw.randrange(1000, 4000) for _ in range(draw.choice([3, 20, 90]))]
+        for _ in range(draw.choice([1, 2, 5])):
+            kept = [draw.randrange(5000, 9000) if draw.random() < draw.choice([0.0, 0.1, 0.5]) else x for x in base]
+            works.append(sorted({*kept, *draw.sample(common, draw.choice([0, 8, 40]))}))
+    works = [[(x * 0x9E3779B97F4A7C15 + 12345) % (1 << 64) - (1 << 63) for x in w] for w in works]
+    works.append([])
+    ids = [(k * 0xD6E8FEB86659FD93) % (1 << 64) - (1 << 63) for k in range(len(works))]
+    rows = [(i, w) for i, w in zip(ids, works)] + [(ids[k], works[k]) for k in (0, 5, 9)]
+    df = spark.createDataFrame(rows, "id long, grams array<long>").repartition(4)
+    for least in (0.23, 0.45, 0.9):
+        expected = {}
+        for i in range(len(works)):
+            for j in range(i):
+                a, b = set(works[i]), set(works[j])
+                if a and b and len(a & b) / len(a | b) >= least:
+                    expected[frozenset((ids[i], ids[j]))] = (len(a & b), len(a) + len(b))
+        got = overlap.overlaps(df, least).collect()
+        assert expected and len(got) == len(expected)
+        assert {frozenset((r["a"], r["b"])): (r["n_common"], r["n_a"] + r["n_b"]) for r in got} == expected
+
+
+def test_shared_grams_shuffles_no_rows_of_grams(spark):
+    """Grams travel in arrays: no exchange carries a row for each, nor sets for each pair."""
+    f = spark.createDataFrame([("a", "x", list(range(9))), ("b", "x", list(range(9)))], "filepath string, collection_id string, tokens array<int>")
+    plan = pairs.shared_grams(f, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "array_intersect" not in plan
