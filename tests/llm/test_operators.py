@@ -490,6 +490,16 @@ def test_language_model_is_a_distribution():
     assert (10.0 ** lm.spell(model, stream, options, known)[at].astype(float)).sum() == pytest.approx(1.0, abs=1e-3)
 
 
+def test_language_model_learns_from_every_document(spark):
+    """No training document is left out of the steps that learn weights and map, whatever its hash."""
+    texts = [prose(60, i) for i in range(8)]
+    for picks in ([0, 1, 2, 3], [20, 37, 54, 63]):
+        train = spark.createDataFrame([(t, p) for p in picks for t in texts], "text string, pick long")
+        model = lm.fit(train, lm.Options(table_bits=16))
+        first = lm.first_model(model.pairs)
+        assert not np.array_equal(model.weights, first.weights) and not np.allclose(model.map, first.map, atol=1e-3)
+
+
 def test_language_model_sees_order_and_copies(spark):
     """Scores change with the order of words; a second copy elsewhere makes a text cheap;
     partitions and neighbours do not show."""
