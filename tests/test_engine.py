@@ -458,3 +458,46 @@ def test_shared_grams_shuffles_no_rows_of_grams(spark):
     f = spark.createDataFrame([("a", "x", list(range(9))), ("b", "x", list(range(9)))], "filepath string, collection_id string, tokens array<int>")
     plan = pairs.shared_grams(f, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "array_intersect" not in plan
+
+
+def _near_copies(n: int) -> list[tuple[int, list[int]]]:
+    spread = lambda x: (x * 0x9E3779B97F4A7C15 + 12345) % (1 << 64) - (1 << 63)
+    return [(spread(k), [spread(1000 + x) for x in range(50)] + [spread(9000 + k)]) for k in range(n)]
+
+
+def test_overlaps_keeps_no_shuffle_of_its_steps(spark):
+    """Each step's shuffles go when its result is written; the result is no plan over all of them."""
+    import time
+
+    from quillmatch.operators import overlap
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held() -> set[str]:
+        files = disk.getAllFiles()
+        return {x for k in range(files.size()) if (x := files.apply(k).getName()).startswith("shuffle_") and x.endswith(".data")}
+
+    before = held()
+    got = overlap.overlaps(spark.createDataFrame(_near_copies(12), "id long, grams array<long>"), 0.5).collect()
+    assert len(got) == 66 and {r["n_common"] for r in got} == {50}
+    for _ in range(50):  # files are deleted behind the query
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before
+
+
+def test_pairs_of_near_copies_are_counted_in_one_place(spark, monkeypatch):
+    """A group's works travel to one place, and to few blocks of it where its pairs are many."""
+    from quillmatch.operators import overlap
+
+    ids = [k for k, _ in _near_copies(40)]
+    rows = [(a, b) for a in ids for b in ids if a < b]
+    pairs = spark.createDataFrame(rows, "a long, b long")
+    placed = overlap._placed(pairs, 1000).collect()
+    assert {(r["a"], r["b"]) for r in placed} == set(rows) and len({r["bucket"] for r in placed}) == 1
+    monkeypatch.setattr(overlap, "BLOCK", 100)
+    placed = overlap._placed(pairs, 1_000_000).collect()
+    assert {(r["a"], r["b"]) for r in placed} == set(rows) and len(placed) == len(rows)
+    places = {x: {r["bucket"] for r in placed if x in (r["a"], r["b"])} for x in ids}
+    assert len({r["bucket"] for r in placed}) > 1 and max(map(len, places.values())) <= 4
