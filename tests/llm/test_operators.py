@@ -943,3 +943,16 @@ def test_all_operators_take_nulls_and_clashing_columns(spark, docs):
     for df in (quality.keep(docs), simhash.keep_one(docs), decontaminate.clean(docs, bench)):
         assert df.columns == docs.columns and df.count() <= n
     assert mixing.apply(docs, labels).columns == docs.columns  # rates above 1 repeat rows
+
+
+def test_lm_learns_from_all_tasks_in_one_job(spark):
+    """A round's tasks run side by side, whatever their number."""
+    train = spark.range(64).repartition(16).selectExpr("concat('some words of text ', id) AS text", "xxhash64(id) AS pick")
+    options, context = lm.Options(table_bits=12, rounds=2), spark.sparkContext
+    context.setJobGroup("fit", "fit")
+    try:
+        model = lm.fit(train, options)
+        jobs = context.statusTracker().getJobIdsForGroup("fit")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert model.pairs.any() and len(jobs) < 16
