@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -956,3 +958,25 @@ def test_lm_learns_from_all_tasks_in_one_job(spark):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert model.pairs.any() and len(jobs) < 16
+
+
+def test_lm_memory_of_a_worker(monkeypatch):
+    """A part is counted and spelled a few texts at a time, and small batches are joined to parts."""
+    monkeypatch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    options = lm.Options(part_chars=2_000_000)
+    texts = [prose(6000, i) for i in range(60)]
+    chars = sum(map(len, texts))
+    assert 1_500_000 < chars < options.part_chars
+    whole = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "held": pa.array([False] * len(texts))})
+    model = types.SimpleNamespace(value=lm.first_model(np.zeros(lm.layout(options.table_bits)[1][-1], np.uint16)))
+    model.value.tables(False)
+    list(lm._parts(model, options, pa.int64())(iter([whole.slice(0, 1)])))
+    parts = list(lm._parts(model, options, pa.int64())(whole.slice(i, 1) for i in range(len(texts))))
+    assert sum(b.column(1).null_count for b in parts) == 1  # one part, in one row
+    tracemalloc.start()
+    try:
+        list(lm._parts(model, options, pa.int64())(iter([whole])))
+        spelled = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert spelled < 14 * chars
