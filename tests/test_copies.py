@@ -53,3 +53,11 @@ def test_ids_of_any_length(spark, tmp_path):
 
 def test_all_copies_are_paired(spark, tmp_path, monkeypatch):
     _all_copies(spark, tmp_path, monkeypatch, "doc_fast_compare_all", 3)
+
+
+def test_ids_of_any_length_by_bigrams(spark, tmp_path):
+    _ids_of_any_length(spark, tmp_path, "doc_fast_compare_bigrams")
+
+
+def test_all_copies_are_paired_by_bigrams(spark, tmp_path, monkeypatch):
+    _all_copies(spark, tmp_path, monkeypatch, "doc_fast_compare_bigrams_all", 2)
